@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,6 +24,20 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), tokenizer_path())
 
 
+def _crc_mod(column: str, n: int) -> Column:
+    """crc32 of a column as text, modulo n; null counts as the empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .compression import fit, score
+
+    docs = documents(spark, sf_dir)
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), _crc_mod("doc_id", 5) != 0)
+    found = score(docs, model)
+    return found.select("doc_id", (_crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix, n_words
 
@@ -63,10 +77,36 @@ FROM placed
 """
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .direct_codes import read_documents, write
+
+    return read_documents(spark, write(documents(spark, sf_dir), tokenizer_path(), end_id=2))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify, prototypes
+
+    docs = documents(spark, sf_dir)
+    held_out = _crc_mod("doc_id", 4) == 2
+    found = identify(docs, *prototypes(docs.filter(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .scratch import written
+    from .telephony import described, store_texts
+
+    return described(written(store_texts(documents(spark, sf_dir)), "telephony"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pack": op1_pack,
+        "op2_quality": op2_quality,
         "op5_mix": op5_mix,
+        "op7_token_files": op7_token_files,
+        "op8_language": op8_language,
+        "op10_telephony": op10_telephony,
     }
 
 
