@@ -77,6 +77,13 @@ FROM placed
 """
 
 
+def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rules import judge, statistics
+
+    found = judge(statistics(documents(spark, sf_dir)))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .direct_codes import read_documents, write
 
@@ -104,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pack": op1_pack,
         "op2_quality": op2_quality,
         "op5_mix": op5_mix,
+        "op6_rules": op6_rules,
         "op7_token_files": op7_token_files,
         "op8_language": op8_language,
         "op10_telephony": op10_telephony,
