@@ -99,6 +99,37 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import Join, linked
+
+    return linked(documents(spark, sf_dir), Join(words=3, num=90, den=100)).select("doc_id", "n_shingles", "component_id")
+
+
+OP9_SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w
+  FROM documents),
+shingled AS (
+  SELECT doc_id, CASE WHEN coalesce(len(w), 0) = 0 THEN []
+    WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+  FROM worded),
+sized AS (SELECT doc_id, s, len(s)::BIGINT AS n FROM shingled),
+tokens AS (SELECT doc_id, n, unnest(s) AS t FROM sized),
+linked AS (
+  SELECT a.doc_id AS x, b.doc_id AS y
+  FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id <> b.doc_id AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reached(x, y) AS (
+  SELECT doc_id, doc_id FROM sized
+  UNION
+  SELECT r.x, l.y FROM reached r JOIN linked l ON r.y = l.x)
+SELECT s.doc_id, s.n AS n_shingles, r.component_id
+FROM sized s JOIN (SELECT x, min(y) AS component_id FROM reached GROUP BY x) r ON r.x = s.doc_id
+"""
+
+
 def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .scratch import written
     from .telephony import described, store_texts
@@ -114,9 +145,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_rules": op6_rules,
         "op7_token_files": op7_token_files,
         "op8_language": op8_language,
+        "op9_jaccard": op9_jaccard,
         "op10_telephony": op10_telephony,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix": OP5_SQL}
+    return {"op5_mix": OP5_SQL, "op9_jaccard": OP9_SQL}
