@@ -177,4 +177,5 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of ``docs``."""
-    return pack(pieces(docs, tokenizer, capacity, end_id), capacity)
+    # Written first: sampling for the ranges would encode every text a second time.
+    return pack(written(pieces(docs, tokenizer, capacity, end_id), "tokenised"), capacity)
