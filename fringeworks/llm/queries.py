@@ -38,6 +38,14 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import removed
+
+    found = removed(documents(spark, sf_dir))
+    n_removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return found.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix, n_words
 
@@ -107,7 +115,8 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = r"""
 WITH RECURSIVE worded AS (
-  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w
   FROM documents),
 shingled AS (
   SELECT doc_id, CASE WHEN coalesce(len(w), 0) = 0 THEN []
@@ -141,6 +150,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pack": op1_pack,
         "op2_quality": op2_quality,
+        "op3_repeats": op3_repeats,
         "op5_mix": op5_mix,
         "op6_rules": op6_rules,
         "op7_token_files": op7_token_files,
