@@ -46,6 +46,13 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .findings import scan
+
+    found = scan(documents(spark, sf_dir))
+    return found.select("doc_id", "finding", "start", "end", F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
+
+
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix, n_words
 
@@ -151,6 +158,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pack": op1_pack,
         "op2_quality": op2_quality,
         "op3_repeats": op3_repeats,
+        "op4_secrets": op4_secrets,
         "op5_mix": op5_mix,
         "op6_rules": op6_rules,
         "op7_token_files": op7_token_files,
