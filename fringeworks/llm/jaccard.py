@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import broadcast_if_small, partitions, written
 
 WORDS = 500_000
 PIVOT_ROUNDS = 6
@@ -56,9 +56,10 @@ class Join:
         return sizes * (self.den - self.num) // (self.den + self.num)
 
     def bands(self, largest: int) -> list[tuple[int, int]]:
+        """Sizes that meet; a set reaches into the next band only from the top of its own."""
         out, lo = [], 1
         while lo <= largest:
-            hi = lo * self.den // self.num
+            hi = lo * self.den * 5 // (self.num * 4)
             out.append((lo, hi))
             lo = hi + 1
         return out
@@ -127,18 +128,19 @@ class Allocation:
     slack: int
 
 
-def allocate(size: int, apart: int, sets: int) -> Allocation:
-    """Segments for sets of up to ``size`` shingles of which ``sets`` meet in the band, by expected cost a set."""
-    best = None
+def allocate(lo: int, hi: int, apart: int, sets: int) -> Allocation:
+    """Segments for a band's ``sets`` sets of ``lo`` to ``hi`` shingles, by expected cost a set."""
+    best, size = None, (lo + hi) / 2
     for part in (0, 0.125, 0.25, 0.5, 0.75, 1):
         slack = 0
         for _ in range(4):
             units = apart + 1 + slack
             two = int(units * part / 2) if part < 1 else units // 2
             m = two + units - 2 * two
-            mean = size / m
+            mean = lo / m
             hollow = 2 * two * math.exp(-mean) * (1 + mean) + (m - two) * math.exp(-mean)
             slack = math.ceil(hollow + 4 * math.sqrt(hollow)) if hollow > 0.01 and m > 8 else 0
+        mean = size / m
         agree = math.exp(-OWN * mean)
         written_ = (m - two) + two * (1 + mean)
         cost = written_ + CANDIDATE * sets * agree * ((m - two) + two * mean * agree)
@@ -170,63 +172,103 @@ def signatures(found: np.ndarray, band: int, how: Allocation) -> np.ndarray:
     return mixed(values + mixed(places.astype(np.uint64) + salt))
 
 
+def allocations(docs: DataFrame, join: Join) -> tuple[list[tuple[int, int]], list[Allocation | None]]:
+    """The bands and their allocations, from the numbers of words of all texts: an upper bound of their shingles."""
+    n = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
+    log = F.floor(100 * F.log(F.col("n").cast("double"))).cast("int")
+    spread = docs.select(n.alias("n")).filter("n > 0").groupBy(log.alias("log")).agg(F.count("*").alias("sets"), F.max("n").alias("most")).collect()  # a row per hundredth of the logarithm
+    bands = join.bands(max((r["most"] for r in spread), default=0))
+    starts = [b[0] for b in bands]
+    in_band = np.zeros(len(bands) + 1, np.int64)
+    for r in spread:
+        in_band[max(0, int(np.searchsorted(starts, math.exp((r["log"] + 0.5) / 100), side="right")) - 1)] += r["sets"]
+    hows = []
+    for k, (lo, hi) in enumerate(bands):
+        apart = join.most_apart(2 * hi)
+        hows.append(allocate(lo, hi, apart, int(in_band[k] + in_band[max(0, k - 1)])) if apart else None)
+    return bands, hows
+
+
 def sets_of(docs: DataFrame, join: Join) -> DataFrame:
-    """doc_id, n_shingles, k1 and k2 (the class), bits (parity bitmap), shingles (8 bytes each)."""
+    """k (the class: k1, k2), n, bits (parity bitmap) and shingles (8 bytes each) of each text."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                sets = [shingles(t, join.words) for t in part.column(1).to_pylist()]
-                keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
-                columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1])]
-                columns += [pa.array([bitmap(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "k1", "k2", "bits", "shingles"])
+            for at in range(0, batch.num_rows, 256):
+                sets = [shingles(t, join.words) for t in batch.column(0)[at : at + 256].to_pylist()]
+                columns = [keys_of(sets), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["k", "n", "bits", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(made, "doc_id long, n_shingles long, k1 long, k2 long, bits binary, shingles binary")
+    return docs.select(F.col("text").cast("string")).mapInArrow(made, "k struct<k1: long, k2: long>, n long, bits binary, shingles binary")
 
 
-def signed(sets: DataFrame, join: Join, largest: int, in_log: dict[int, int]) -> DataFrame:
-    """sig, k1, k2: signatures of every set in its own band and, as the smaller of a pair, in the next."""
-    bands = join.bands(largest)
-    at = np.array([b[0] for b in bands], np.int64)
-    in_band = np.zeros(len(bands) + 1, np.int64)
-    for log, n in in_log.items():
-        in_band[max(0, int(np.searchsorted(at, math.exp((log + 0.5) / 100), side="right")) - 1)] += n
-    hows = []
-    for k, (_, hi) in enumerate(bands):
-        apart = join.most_apart(2 * hi)
-        hows.append(allocate(hi, apart, int(in_band[k] + in_band[max(0, k - 1)])) if apart else None)
+def keys_of(sets: list[np.ndarray]) -> pa.Array:
+    import xxhash
+
+    keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
+    return pa.StructArray.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1])], ["k1", "k2"])
+
+
+def signed(docs: DataFrame, join: Join) -> DataFrame:
+    """doc_id, n_shingles, k and sigs: signatures in the set's own band and, as the smaller of a pair, in the next.
+
+    Only the first of equal sets in a task has signatures.
+    """
+    bands, hows = allocations(docs, join)
+    starts = np.array([b[0] for b in bands], np.int64)
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sign(found: np.ndarray) -> np.ndarray:
+        band = int(np.searchsorted(starts, len(found), side="right")) - 1
+        # Sets that can be in a pair of the next band have at least num / den times its least size.
+        own = [b for b in (band, band + 1) if b < len(bands) and hows[b] and (b == band or len(found) * join.den >= bands[b][0] * join.num)]
+        return np.concatenate([signatures(found, b, hows[b]) for b in own]) if len(found) and own else np.zeros(0, np.uint64)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[bytes] = set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [shingles(t, join.words) for t in part.column(1).to_pylist()]
+                keys = keys_of(sets)
+                sigs = []
+                for s, k in zip(sets, keys.to_pylist()):
+                    k = (k["k1"], k["k2"])
+                    sigs.append(np.zeros(0, np.uint64) if k in done else sign(s))
+                    done.add(k)
+                if len(done) > WORDS:
+                    done.clear()
+                ends = pa.array(np.cumsum([0, *map(len, sigs)]), pa.int32())
+                lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sigs).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), keys, lists], names=["doc_id", "n_shingles", "k", "sigs"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(made, "doc_id long, n_shingles long, k struct<k1: long, k2: long>, sigs array<long>")
+
+
+def buckets_of(table: DataFrame) -> DataFrame:
+    """sig, k: the classes of each signature that several have. Rows pass sorted; nothing is held but the last."""
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, known = np.zeros((3, 0), np.int64), False
         for batch in batches:
-            k1, k2 = (batch.column(i).to_numpy() for i in (0, 1))
-            sigs, rows = [], []
-            for i, data in enumerate(batch.column(2).to_pylist()):
-                found = np.frombuffer(data, np.uint64)
-                band = int(np.searchsorted(at, len(found), side="right")) - 1
-                for b in (band, band + 1):
-                    # Sets that can be in a pair of the next band are at least num / den times its least size.
-                    if b < len(bands) and hows[b] and (b == band or len(found) * join.den >= bands[b][0] * join.num):
-                        sigs.append(signatures(found, b, hows[b]))
-                        rows.append(np.full(len(sigs[-1]), i))
-                if sigs and (len(sigs) >= 512 or i == len(k1) - 1):
-                    row = np.concatenate(rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(k1[row]), pa.array(k2[row])], names=["sig", "k1", "k2"])
-                    sigs, rows = [], []
-            if sigs:
-                row = np.concatenate(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(k1[row]), pa.array(k2[row])], names=["sig", "k1", "k2"])
-
-    return sets.filter("n_shingles > 0").select("k1", "k2", "shingles").mapInArrow(sign, "sig long, k1 long, k2 long")
+            rows = np.concatenate([last, np.stack([c.to_numpy() for c in batch.columns])], 1)
+            fresh = np.r_[True, (rows[:, 1:] != rows[:, :-1]).any(0)]
+            rows = rows[:, fresh]
+            same = rows[0, 1:] == rows[0, :-1]
+            many = np.r_[known, same] | np.r_[same, False]
+            last, known = rows[:, -1:], bool(many[-1])
+            out = rows[:, :-1][:, many[:-1]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["sig", "k1", "k2"])
+        if known:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], names=["sig", "k1", "k2"])
+
+    rows = table.select(F.explode("sigs").alias("sig"), "k").select("sig", "k.k1", "k.k2")
+    rows = rows.repartition(partitions(table.sparkSession), "sig").sortWithinPartitions("sig", "k1", "k2")
+    return rows.mapInArrow(shared, "sig long, k1 long, k2 long").select("sig", F.struct("k1", "k2").alias("k"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     """The pairs (a, b: structs of k1, k2) whose sets link; ``sets`` has one row per class."""
-    narrow = sets.select(F.struct("k1", "k2").alias("k"), F.col("n_shingles").alias("n"), "bits")
-    wide = sets.select(F.struct("k1", "k2").alias("k"), "shingles")
+    narrow, wide = sets.select("k", "n", "bits"), sets.select("k", "shingles")
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,26 +333,25 @@ def order(seed: int, column: str) -> Column:
 
 
 def linked(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """doc_id, n_shingles, class (k1, k2) and component_id of every document of (doc_id, text)."""
-    sets = written(sets_of(docs, join), "shingle_sets")
-    members = sets.select("doc_id", "n_shingles", F.struct("k1", "k2").alias("k"))
-    log = F.floor(100 * F.log(F.col("n_shingles").cast("double")))
-    spread = sets.filter("n_shingles > 0").groupBy(log.cast("int").alias("log")).agg(F.count("*").alias("n"), F.max("n_shingles").alias("most")).collect()  # a row per hundredth of the size's logarithm
-    comps = None
-    if spread:
-        sigs = signed(sets, join, max(r["most"] for r in spread), {r["log"]: r["n"] for r in spread})
-        sigs = written(sigs.select("sig", F.struct("k1", "k2").alias("k")), "signatures")
-        shared = sigs.groupBy("sig").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).filter("lo != hi").select("sig")
-        buckets = written(sigs.join(shared, "sig").distinct(), "buckets")
-        classes = buckets.select("k").distinct()
-        few = sets.withColumn("k", F.struct("k1", "k2")).join(classes, "k", "left_semi").drop("doc_id", "k")
-        few = written(few.groupBy("k1", "k2").agg(F.min("n_shingles").alias("n_shingles"), F.min("bits").alias("bits"), F.min("shingles").alias("shingles")), "class_sets")
-        comps = components(buckets, classes, few, join)
-    rows = members.withColumn("comp", F.col("k")) if comps is None else members.join(comps, "k", "left").withColumn("comp", F.coalesce("comp", "k"))
+    """doc_id, n_shingles, k (class: k1, k2), comp (a class, one per component) and component_id of every row of (doc_id, text)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    table = written(signed(docs, join), "signed")
+    buckets = written(buckets_of(table), "buckets")
+    classes = written(buckets.select("k").distinct(), "classes")
+    members = table.filter("n_shingles > 0").select("doc_id", "k")
+    wanted = broadcast_if_small(classes)
+    ids = members.join(wanted, "k", "left_semi").groupBy("k").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id")).alias("one"))
+    ids = written(ids.select(F.col("one.doc_id").alias("id")).distinct(), "class_documents")
+    ids = broadcast_if_small(ids)
+    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    few = sets_of(texts, join).join(wanted, "k", "left_semi")
+    few = written(few.groupBy("k").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("shingles").alias("shingles")), "class_sets")
+    comps = components(buckets, classes, few, join)
+    rows = table.select("doc_id", "n_shingles", "k").join(comps, "k", "left").withColumn("comp", F.coalesce("comp", "k"))
     least = rows.filter("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
     rows = rows.join(least, "comp", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", "n_shingles", F.col("k.k1").alias("k1"), F.col("k.k2").alias("k2"), own.alias("component_id"))
+    return rows.select("doc_id", "n_shingles", "k", "comp", own.alias("component_id"))
 
 
 def components(buckets: DataFrame, classes: DataFrame, sets: DataFrame, join: Join) -> DataFrame:

@@ -31,3 +31,14 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows of ids or hashes that may be broadcast, about 50 MB on each executor.
+MOST_BROADCAST = 400_000
+
+
+def broadcast_if_small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """``df``, narrow and written before, marked for broadcast if it has ``most`` rows or fewer; else joins shuffle."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() <= most else df
