@@ -28,6 +28,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import broadcast_if_small, written
+
 NAMES = r"passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credential"
 BLOCK = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[^-]{0,20000}-----END [A-Z ]{0,20}PRIVATE KEY-----"
 NAMED = rf"(?i:{NAMES})[A-Za-z_]{{0,12}}[\"']?\s{{0,3}}[:=]{{1,2}}\s{{0,3}}[\"']?[^\s\"',;<>]{{6,}}"
@@ -180,14 +182,20 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, path: str = "source
 
 
 MASK = "[SECRET]"
+#: Characters of secrets that may be broadcast; beyond, the join shuffles.
+MOST_VALUES = 20_000_000
 
 
 def redacted(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` with the values of their secrets in ``found`` replaced by ``MASK``; all rows and columns stay."""
-    values = found.filter("is_secret").groupBy("doc_id", "th").agg(F.collect_set("value").alias("_values"))
-    values = values.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "_values")
-    rows = docs.withColumn("_row", F.xxhash64(F.col("text").cast("string")))
-    rows = rows.join(values, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_th")), "left")
+    values = found.filter("is_secret").groupBy("doc_id", "th").agg(F.collect_set("value").alias("_values"))  # as many as a document has
+    values = written(values.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "_values"), "secrets")
+    size = values.agg(F.sum(F.aggregate("_values", F.lit(0), lambda n, v: n + F.length(v))).alias("n")).first()["n"]
+    if not size:
+        return docs
+    values = broadcast_if_small(values) if size <= MOST_VALUES else values
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_th"))
+    rows = docs.join(values, same, "left")
     longest = F.array_sort("_values", lambda a, b: F.length(b) - F.length(a))
     text = F.when(F.col("_values").isNotNull(), F.aggregate(longest, F.col("text"), lambda t, v: F.replace(t, v, F.lit(MASK)))).otherwise(F.col("text"))
-    return rows.withColumn("text", text).select(*docs.columns)
+    return rows.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))

@@ -210,7 +210,7 @@ def keys_of(sets: list[np.ndarray]) -> pa.Array:
 
 
 def signed(docs: DataFrame, join: Join) -> DataFrame:
-    """doc_id, n_shingles, k and sigs: signatures in the set's own band and, as the smaller of a pair, in the next.
+    """doc_id, th, n_shingles, k and sigs: signatures in the set's own band and, as the smaller of a pair, in the next.
 
     Only the first of equal sets in a task has signatures.
     """
@@ -239,9 +239,9 @@ def signed(docs: DataFrame, join: Join) -> DataFrame:
                     done.clear()
                 ends = pa.array(np.cumsum([0, *map(len, sigs)]), pa.int32())
                 lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sigs).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), keys, lists], names=["doc_id", "n_shingles", "k", "sigs"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), keys, lists], names=["doc_id", "th", "n_shingles", "k", "sigs"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(made, "doc_id long, n_shingles long, k struct<k1: long, k2: long>, sigs array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(made, "doc_id long, th long, n_shingles long, k struct<k1: long, k2: long>, sigs array<long>")
 
 
 def buckets_of(table: DataFrame) -> DataFrame:
@@ -333,7 +333,7 @@ def order(seed: int, column: str) -> Column:
 
 
 def linked(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """doc_id, n_shingles, k (class: k1, k2), comp (a class, one per component) and component_id of every row of (doc_id, text)."""
+    """doc_id, th (hash of the text), n_shingles, k (class: k1, k2), comp (a class, one per component) and component_id of every row of (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = written(signed(docs, join), "signed")
     buckets = written(buckets_of(table), "buckets")
@@ -347,11 +347,26 @@ def linked(docs: DataFrame, join: Join = Join()) -> DataFrame:
     few = sets_of(texts, join).join(wanted, "k", "left_semi")
     few = written(few.groupBy("k").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("shingles").alias("shingles")), "class_sets")
     comps = components(buckets, classes, few, join)
-    rows = table.select("doc_id", "n_shingles", "k").join(comps, "k", "left").withColumn("comp", F.coalesce("comp", "k"))
+    rows = table.select("doc_id", "th", "n_shingles", "k").join(comps, "k", "left").withColumn("comp", F.coalesce("comp", "k"))
     least = rows.filter("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
     rows = rows.join(least, "comp", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", "n_shingles", "k", "comp", own.alias("component_id"))
+    return rows.select("doc_id", "th", "n_shingles", "k", "comp", own.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, join: Join) -> DataFrame:
+    """``docs`` with one row of each component, of smallest (doc_id, hash of the text); empty sets all stay."""
+    id_, th = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
+    rows = linked(docs, join).filter("n_shingles > 0").select(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "th").alias("row"), "comp")
+    groups = rows.groupBy("comp").agg(F.count("*").alias("n"), F.min("row").alias("first")).filter("n > 1").select("comp", "first")
+    grouped = rows.join(broadcast_if_small(written(groups, "groups")), "comp")
+    grouped = grouped.groupBy("row").agg(F.max(F.col("row") == F.col("first")).alias("_first"), F.count("*").alias("_n"))
+    grouped = written(grouped.select(F.col("row.doc_id").alias("_id"), F.col("row.th").alias("_th"), "_first", "_n"), "grouped")
+    both = docs.join(broadcast_if_small(grouped), id_.eqNullSafe(F.col("_id")) & (th == F.col("_th")), "left")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    alone = both.filter("_first is null or (_first and _n = 1)").select(*names)
+    again = both.filter("_first and _n > 1").dropDuplicates(["_id", "_th"])  # the first's id and text stand in several rows
+    return alone.unionByName(again.select(*names))
 
 
 def components(buckets: DataFrame, classes: DataFrame, sets: DataFrame, join: Join) -> DataFrame:

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 DIMENSIONS = 1024
 N = 3
@@ -141,7 +142,9 @@ def prototypes(docs: DataFrame, dimensions: int = DIMENSIONS, n: int = N, seed:
 
 
 def identify(docs: DataFrame, langs: list[str], vectors: np.ndarray, n: int = N, seed: int = SEED) -> DataFrame:
-    """doc_id, lang_pred and score (cosine, from 0 to 1) of every whole text."""
+    """Adds lang_pred and score (cosine, from 0 to 1) of every whole text to ``docs``; columns of these names are replaced."""
+    docs = docs.drop("lang_pred", "score")
+    text = docs.columns.index("text")
     dimensions = vectors.shape[1] if len(langs) else DIMENSIONS
     unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
     shared = docs.sparkSession.sparkContext.broadcast((langs, unit))
@@ -151,7 +154,7 @@ def identify(docs: DataFrame, langs: list[str], vectors: np.ndarray, n: int = N,
         make = profiles(dimensions, n, seed)
         for batch in batches:
             preds, scores = [], []
-            for _, rows in make.bundles(batch.column(1).to_pylist()):
+            for _, rows in make.bundles(batch.column(text).to_pylist()):
                 size = np.linalg.norm(rows, axis=1)
                 if not langs:
                     size[:] = 0
@@ -159,6 +162,7 @@ def identify(docs: DataFrame, langs: list[str], vectors: np.ndarray, n: int = N,
                 best = cosine.argmax(1)
                 preds += [langs[b] if s else "und" for b, s in zip(best, size)]
                 scores.append(np.clip(np.where(size > 0, cosine.max(1), 0), 0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(preds, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=[*batch.schema.names, "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(judged, "doc_id long, lang_pred string, score double")
+    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return docs.mapInArrow(judged, schema)

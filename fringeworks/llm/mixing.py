@@ -49,13 +49,14 @@ def water_fill(sizes: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> DataF
     return found.select("source", "source_size", F.coalesce(F.least("cap", F.col("level") * F.col("weight")), F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, size: Column, weights=WEIGHTS, epochs: int = EPOCHS, seed: int = 17) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for each row of (doc_id, source, …).
+def mix(docs: DataFrame, size: Column, weights=WEIGHTS, epochs: int = EPOCHS, seed: int = 17, key: Column | None = None) -> DataFrame:
+    """doc_id, source, key, size, source_size, target, taken for each row of (doc_id, source, …).
 
-    ``size`` is an expression over ``docs``. ``taken`` is at most ``epochs * size``.
+    ``size`` and ``key`` are expressions over ``docs``. ``taken`` is at most ``epochs * size``.
     """
+    key = F.lit(None).cast("long") if key is None else key
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string")))
-    rows = docs.select("doc_id", "source", size.alias("size")).withColumn("_order", order)
+    rows = docs.select("doc_id", "source", size.alias("size"), key.alias("key")).withColumn("_order", order)
     rows = written(rows.withColumn("_bucket", F.substring("_order", 1, 3)), "mix_sizes")
     buckets = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("in_bucket"))
     buckets = written(buckets, "mix_buckets")
@@ -70,12 +71,37 @@ def mix(docs: DataFrame, size: Column, weights=WEIGHTS, epochs: int = EPOCHS, se
     plan = plan.withColumn("_border", (F.col("_ahead") < F.col("_more")) & (F.col("_ahead") + F.col("in_bucket") > F.col("_more")))
     p, r = plan.alias("p"), rows.alias("r")
     joined = r.join(p, F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r._bucket") == F.col("p._bucket")))
-    joined = joined.select("r.doc_id", "r.source", "size", "source_size", "target", "_whole", "_more", "_border", "_ahead", "r._bucket", "_order")
+    joined = joined.select("r.doc_id", "r.source", "key", "size", "source_size", "target", "_whole", "_more", "_border", "_ahead", "r._bucket", "_order")
     inner = Window.partitionBy("source", "_bucket").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     border = joined.filter("_border").withColumn("_at", F.col("_ahead") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
     part = F.least("size", F.greatest(F.lit(0), F.col("_more") - F.col("_at")))
     rest = joined.filter("not _border").withColumn("_at", F.col("_ahead"))
-    columns = ["doc_id", "source", "size", "source_size", "target"]
+    columns = ["doc_id", "source", "key", "size", "source_size", "target"]
     taken = lambda more: (F.col("_whole") * F.col("size") + more).cast("long").alias("taken")
     whole = F.when(F.col("_at") < F.col("_more"), F.col("size")).otherwise(F.lit(0))
     return rest.select(*columns, taken(whole)).unionByName(border.select(*columns, taken(part)))
+
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word."""
+    sizes = F.zip_with(F.slice(F.split(text, WORD, -1), F.lit(1), n), F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), n), lambda r, w: F.length(r) + F.length(w))
+    return F.substring(text, F.lit(1), F.aggregate(sizes, F.lit(0), lambda a, x: a + x))
+
+
+def repeated(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, seed: int = 17) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken, the last time cut where it is taken in part.
+
+    Rows without a word take no part. Equal rows share alike, rounded down.
+    """
+    size, th = n_words(F.col("text")), F.xxhash64("text")
+    taken = mix(docs, size, weights, epochs, seed, th).filter("taken > 0")
+    share = taken.groupBy("doc_id", "source", "key", "size").agg(F.expr("sum(taken) div count(*)").alias("_taken"))
+    share = share.withColumnsRenamed({"doc_id": "_id", "source": "_source", "key": "_key", "size": "_size"})
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (th == F.col("_key"))
+    rows = docs.join(share, same)
+    copies = F.ceil(F.col("_taken") / F.col("_size")).cast("int")
+    rows = rows.filter("_taken > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
+    left = (F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")).cast("int")
+    text = F.when(left < F.col("_size"), first_words(F.col("text"), left)).otherwise(F.col("text"))
+    return rows.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))

@@ -110,7 +110,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = documents(spark, sf_dir)
     held_out = _crc_mod("doc_id", 4) == 2
-    found = identify(docs, *prototypes(docs.filter(~held_out)))
+    found = identify(docs.select("doc_id", "text"), *prototypes(docs.filter(~held_out)))
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
