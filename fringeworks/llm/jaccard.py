@@ -297,35 +297,34 @@ def verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """(k, comp) after joining components that a link (a, b) connects: least label over links, then over labels."""
+    """(k, comp) after joining the components that a link (a, b) connects."""
     ends = labels.select(F.col("k").alias("a"), F.col("comp").alias("ca"))
     edges = links.join(ends, "a").join(labels.select(F.col("k").alias("b"), F.col("comp").alias("cb")), "b").filter("ca != cb")
-    edges = written(edges.select(F.least("ca", "cb").alias("lo"), F.greatest("ca", "cb").alias("hi")).distinct(), "links")
-    found = None
-    while not edges.isEmpty():
-        # Large star: every component goes under the least that it meets; what it met is linked with that one.
-        down = edges.groupBy("hi").agg(F.min("lo").alias("to"))
-        found = written(down if found is None else _onto(found, down).unionByName(down), "stars")
-        now = edges.join(found.select("hi", "to"), "hi").filter("lo != to").select(F.col("lo").alias("x"), F.col("to").alias("y"))
-        now = now.join(found.select(F.col("hi").alias("x"), F.col("to").alias("tx")), "x", "left").join(found.select(F.col("hi").alias("y"), F.col("to").alias("ty")), "y", "left")
-        now = now.select(F.coalesce("tx", "x").alias("x"), F.coalesce("ty", "y").alias("y")).filter("x != y")
-        edges = written(now.select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).distinct(), "links")
-    if found is None:
-        return labels
-    while True:  # labels that are themselves under another
-        further = written(_onto(found, found), "stars")
-        moved = further.join(found.withColumnRenamed("to", "was"), "hi").filter("to != was").isEmpty()
-        found = further
-        if moved:
-            break
-    under = found.select(F.col("hi").alias("comp"), "to")
-    return written(labels.join(under, "comp", "left").select("k", F.coalesce("to", "comp").alias("comp")), "labels")
+    under = stars(edges.select(F.greatest("ca", "cb").alias("hi"), F.least("ca", "cb").alias("lo")))
+    found = labels.join(under.select(F.col("hi").alias("comp"), "lo"), "comp", "left")
+    return written(found.select("k", F.coalesce("lo", "comp").alias("comp")), "labels")
+
 
+def stars(edges: DataFrame) -> DataFrame:
+    """(hi, lo): every vertex of the edges (hi, lo) but the least of its component, with that least.
 
-def _onto(found: DataFrame, down: DataFrame) -> DataFrame:
-    """``found`` with every target moved along ``down``."""
-    step = down.select(F.col("hi").alias("to"), F.col("to").alias("next"))
-    return found.join(step, "to", "left").select("hi", F.coalesce("next", "to").alias("to"))
+    Large and small stars in turn: first every vertex ties its larger neighbours to the
+    least it knows, then its smaller ones and itself, until nothing changes.
+    """
+    edges, was = written(edges.distinct(), "stars"), None
+    while True:
+        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("sum")).first()
+        if now == was or not now["n"]:
+            return edges
+        was = now
+        both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = written(large, "stars")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").filter("v != m").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
+        small = small.unionByName(least.select(F.col("u").alias("hi"), F.col("m").alias("lo")))
+        edges = written(small.distinct(), "stars")
 
 
 def order(seed: int, column: str) -> Column:
