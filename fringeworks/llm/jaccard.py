@@ -39,8 +39,9 @@ from .scratch import broadcast_if_small, partitions, written
 
 WORDS = 500_000
 PIVOT_ROUNDS = 6
-#: A candidate costs as much as so many signatures; share of a segment's shingles that only its own document has.
-CANDIDATE, OWN = 20.0, 0.8
+#: A candidate costs as much as so many signatures; of a segment's shingles, the share that only its own document has;
+#: share of pairs of documents that have the same text elsewhere, so that a segment without own shingles may agree.
+CANDIDATE, OWN, COMMON = 4.0, 0.8, 0.001
 
 
 @dataclass(frozen=True)
@@ -141,9 +142,9 @@ def allocate(lo: int, hi: int, apart: int, sets: int) -> Allocation:
             hollow = 2 * two * math.exp(-mean) * (1 + mean) + (m - two) * math.exp(-mean)
             slack = math.ceil(hollow + 4 * math.sqrt(hollow)) if hollow > 0.01 and m > 8 else 0
         mean = size / m
-        agree = math.exp(-OWN * mean)
+        agree = COMMON * math.exp(-2 * OWN * mean)
         written_ = (m - two) + two * (1 + mean)
-        cost = written_ + CANDIDATE * sets * agree * ((m - two) + two * mean * agree)
+        cost = written_ + CANDIDATE * sets * agree * ((m - two) + two * (1 + 2 * mean))
         if best is None or cost < best[0]:
             best = (cost, Allocation(m, two, max(0, 2 * two + (m - two) - apart - 1)))
     return best[1]
@@ -245,10 +246,10 @@ def signed(docs: DataFrame, join: Join) -> DataFrame:
 
 
 def buckets_of(table: DataFrame) -> DataFrame:
-    """sig, k: the classes of each signature that several have. Rows pass sorted; nothing is held but the last."""
+    """sig, k1: the classes of each signature that several have. Rows pass sorted; nothing is held but the last."""
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, known = np.zeros((3, 0), np.int64), False
+        last, known = np.zeros((2, 0), np.int64), False
         for batch in batches:
             rows = np.concatenate([last, np.stack([c.to_numpy() for c in batch.columns])], 1)
             fresh = np.r_[True, (rows[:, 1:] != rows[:, :-1]).any(0)]
@@ -257,13 +258,14 @@ def buckets_of(table: DataFrame) -> DataFrame:
             many = np.r_[known, same] | np.r_[same, False]
             last, known = rows[:, -1:], bool(many[-1])
             out = rows[:, :-1][:, many[:-1]]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["sig", "k1", "k2"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["sig", "k1"])
         if known:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], names=["sig", "k1", "k2"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], names=["sig", "k1"])
 
-    rows = table.select(F.explode("sigs").alias("sig"), "k").select("sig", "k.k1", "k.k2")
-    rows = rows.repartition(partitions(table.sparkSession), "sig").sortWithinPartitions("sig", "k1", "k2")
-    return rows.mapInArrow(shared, "sig long, k1 long, k2 long").select("sig", F.struct("k1", "k2").alias("k"))
+    # Half of the class's hash is enough to tell the classes of one bucket apart, and moves less.
+    rows = table.select("k.k1", F.explode("sigs").alias("sig")).select("sig", "k1")
+    rows = rows.repartition(partitions(table.sparkSession), "sig").sortWithinPartitions("sig", "k1")
+    return rows.mapInArrow(shared, "sig long, k1 long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
@@ -335,13 +337,15 @@ def linked(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """doc_id, th (hash of the text), n_shingles, k (class: k1, k2), comp (a class, one per component) and component_id of every row of (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = written(signed(docs, join), "signed")
-    buckets = written(buckets_of(table), "buckets")
-    classes = written(buckets.select("k").distinct(), "classes")
-    members = table.filter("n_shingles > 0").select("doc_id", "k")
+    buckets = written(buckets_of(table), "halves")
+    halves = broadcast_if_small(written(buckets.select("k1").distinct(), "bucket_classes"))
+    members = table.filter("n_shingles > 0").select("doc_id", "k", F.col("k.k1").alias("k1")).join(halves, "k1", "left_semi")
+    one = members.groupBy("k").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id")).alias("one"))
+    one = written(one.select("k", F.col("k.k1").alias("k1"), F.col("one.doc_id").alias("id")), "class_documents")
+    classes = one.select("k")
     wanted = broadcast_if_small(classes)
-    ids = members.join(wanted, "k", "left_semi").groupBy("k").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id")).alias("one"))
-    ids = written(ids.select(F.col("one.doc_id").alias("id")).distinct(), "class_documents")
-    ids = broadcast_if_small(ids)
+    buckets = written(buckets.join(broadcast_if_small(one.select("k1", "k")), "k1").select("sig", "k"), "buckets")
+    ids = broadcast_if_small(written(one.select("id").distinct(), "class_ids"))
     texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     few = sets_of(texts, join).join(wanted, "k", "left_semi")
     few = written(few.groupBy("k").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("shingles").alias("shingles")), "class_sets")
