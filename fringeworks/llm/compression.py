@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import in_arrow
+
 SAMPLE = 2000
 LONGEST = 65_536
 DICT_BYTES = 112_640
@@ -132,4 +134,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 texts = [b"" if t is None else t.encode() for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scorer.score(texts))], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scored, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(in_arrow, scored, "doc_id long, score double")

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import fresh_path, partitions
+from .scratch import fresh_path, in_arrow, partitions
 from .wordids import encoder
 
 MAGIC = b"FWDAC001"
@@ -185,7 +185,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    found = rows.mapInArrow(put, "part int, uri string, n_docs long, n_tokens long").collect()  # one row per file
+    found = rows.transform(in_arrow, put, "part int, uri string, n_docs long, n_tokens long").collect()  # one row per file
     manifest, start = [], 0
     for r in sorted(found, key=lambda r: r["part"]):
         manifest.append({"uri": r["uri"], "start": start, "n_docs": r["n_docs"], "n_tokens": r["n_tokens"]})
@@ -215,4 +215,4 @@ def read_documents(spark, manifest: list[dict]) -> DataFrame:
 
     schema = pa.schema([("uri", pa.string()), ("start", pa.int64())])
     files = spark.createDataFrame(pa.Table.from_pylist([{k: m[k] for k in ("uri", "start")} for m in manifest], schema))
-    return files.repartition(max(1, len(manifest))).mapInArrow(got, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(max(1, len(manifest))).transform(in_arrow, got, "doc_id long, start long, n_tokens long, ids_crc32 long")

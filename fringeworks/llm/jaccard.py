@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import broadcast_if_small, partitions, written
+from .scratch import broadcast_if_small, in_arrow, partitions, written
 
 WORDS = 500_000
 PIVOT_ROUNDS = 6
@@ -200,7 +200,7 @@ def sets_of(docs: DataFrame, join: Join) -> DataFrame:
                 columns = [keys_of(sets), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["k", "n", "bits", "shingles"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(made, "k struct<k1: long, k2: long>, n long, bits binary, shingles binary")
+    return docs.select(F.col("text").cast("string")).transform(in_arrow, made, "k struct<k1: long, k2: long>, n long, bits binary, shingles binary")
 
 
 def keys_of(sets: list[np.ndarray]) -> pa.Array:
@@ -242,7 +242,7 @@ def signed(docs: DataFrame, join: Join) -> DataFrame:
                 lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sigs).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), keys, lists], names=["doc_id", "th", "n_shingles", "k", "sigs"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(made, "doc_id long, th long, n_shingles long, k struct<k1: long, k2: long>, sigs array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).transform(in_arrow, made, "doc_id long, th long, n_shingles long, k struct<k1: long, k2: long>, sigs array<long>")
 
 
 def buckets_of(table: DataFrame) -> DataFrame:
@@ -265,7 +265,7 @@ def buckets_of(table: DataFrame) -> DataFrame:
     # Half of the class's hash is enough to tell the classes of one bucket apart, and moves less.
     rows = table.select("k.k1", F.explode("sigs").alias("sig")).select("sig", "k1")
     rows = rows.repartition(partitions(table.sparkSession), "sig").sortWithinPartitions("sig", "k1")
-    return rows.mapInArrow(shared, "sig long, k1 long")
+    return rows.transform(in_arrow, shared, "sig long, k1 long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
@@ -292,10 +292,10 @@ def verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     rows = pairs.join(narrow.select(F.col("k").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a")
     rows = rows.join(narrow.select(F.col("k").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")
     near = F.least("na", "nb") * join.den >= F.greatest("na", "nb") * join.num
-    rows = rows.filter(near).select("a", "b", "na", "nb", "ba", "bb").mapInArrow(bounded, schema)
+    rows = rows.filter(near).select("a", "b", "na", "nb", "ba", "bb").transform(in_arrow, bounded, schema)
     rows = rows.join(wide.select(F.col("k").alias("a"), F.col("shingles").alias("sa")), "a")
     rows = rows.join(wide.select(F.col("k").alias("b"), F.col("shingles").alias("sb")), "b")
-    return rows.select("a", "b", "sa", "sb").mapInArrow(compared, schema)
+    return rows.select("a", "b", "sa", "sb").transform(in_arrow, compared, schema)
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:

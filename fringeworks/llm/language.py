@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from .scratch import in_arrow
+
 DIMENSIONS = 1024
 N = 3
 SEED = 7
@@ -132,7 +134,7 @@ def prototypes(docs: DataFrame, dimensions: int = DIMENSIONS, n: int = N, seed:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], names=["lang", "v"])
 
     known = docs.select("text", F.col("lang").cast("string").alias("lang")).filter("text is not null and lang is not null")
-    parts = known.mapInArrow(bundled, "lang string, v array<long>").select("lang", F.posexplode("v").alias("d", "x"))
+    parts = known.transform(in_arrow, bundled, "lang string, v array<long>").select("lang", F.posexplode("v").alias("d", "x"))
     rows = parts.groupBy("lang", "d").agg(F.sum("x").alias("x")).collect()  # languages times dimensions
     langs = sorted({r["lang"] for r in rows})
     out = np.zeros((len(langs), dimensions))
@@ -165,4 +167,4 @@ def identify(docs: DataFrame, langs: list[str], vectors: np.ndarray, n: int = N,
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=[*batch.schema.names, "lang_pred", "score"])
 
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return docs.mapInArrow(judged, schema)
+    return docs.transform(in_arrow, judged, schema)

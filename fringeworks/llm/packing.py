@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .scratch import partitions, written
+from .scratch import in_arrow, partitions, written
 from .wordids import encoder
 
 CAPACITY = 4096
@@ -129,7 +129,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
             columns = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(in_arrow, cut, PIECES)
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -150,7 +150,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     schema = StructType([*found.schema.fields, StructField("_part", IntegerType()), StructField("_rank", LongType())])
     sorted_ = found.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
-    table = written(sorted_.mapInArrow(ranked, schema), "pieces")
+    table = written(sorted_.transform(in_arrow, ranked, schema), "pieces")
     # At most capacity + partitions rows: partitions are ranges of lengths.
     groups = sorted((r["_part"], r["length"], r["n"]) for r in table.groupBy("_part", "length").agg(F.count("*").alias("n")).collect())
     counts = np.zeros(capacity + 1, np.int64)
@@ -172,7 +172,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(bin_), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields[: len(names)])
-    return table.mapInArrow(placed, out + ", sequence_id long, offset long")
+    return table.transform(in_arrow, placed, out + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .jaccard import mixed
-from .scratch import partitions, written
+from .scratch import in_arrow, partitions, written
 from .suffixes import permuted_prefixes, suffix_array
 
 LENGTH = 400
@@ -134,7 +134,7 @@ def found_fragments(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 if out[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k) for c, k in zip(out, kinds)], names=["mark", "frag", "id", "th", "lo", "hi", "n"])
 
-    return docs.mapInArrow(found, "mark long, frag long, id long, th long, lo int, hi int, n int")
+    return docs.transform(in_arrow, found, "mark long, frag long, id long, th long, lo int, hi int, n int")
 
 
 def cut_out(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -152,7 +152,7 @@ def cut_out(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 seen = {(p["mark"], p["frag"]): p for p in places}.values()  # equal rows of one id ask twice
                 yield pa.RecordBatch.from_pylist([{"mark": p["mark"], "frag": p["frag"], "data": data[p["lo"] : p["hi"] + length - 1]} for p in seen], schema=pa.schema([("mark", pa.int64()), ("frag", pa.int64()), ("data", pa.binary())]))
 
-    return both.select("data", "places").mapInArrow(cut, "mark long, frag long, data binary")
+    return both.select("data", "places").transform(in_arrow, cut, "mark long, frag long, data binary")
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -167,7 +167,7 @@ def packed(docs: DataFrame) -> DataFrame:
                 part = batch.slice(at, 512)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([press(t.encode()) for t in part.column(2).to_pylist()], pa.binary())], names=["id", "th", "data"])
 
-    return docs.mapInArrow(pack, "id long, th long, data binary")
+    return docs.transform(in_arrow, pack, "id long, th long, data binary")
 
 
 def repeated_in(texts: list[bytes], length: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -210,7 +210,7 @@ def sharded(cuts: DataFrame, length: int) -> DataFrame:
         if held:
             yield told()
 
-    return cuts.repartition(n, "mark").sortWithinPartitions("mark", "frag").mapInArrow(search, "mark long, frag long, `from` int, `to` int")
+    return cuts.repartition(n, "mark").sortWithinPartitions("mark", "frag").transform(in_arrow, search, "mark long, frag long, `from` int, `to` int")
 
 
 def by_string(cuts: DataFrame, length: int) -> DataFrame:
@@ -225,7 +225,7 @@ def by_string(cuts: DataFrame, length: int) -> DataFrame:
                 keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[k : k + length]) for k in range(n)), "<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, m)), pa.array(np.full(n, f)), pa.array(np.arange(n), pa.int32()), pa.array(keys[:, 0]), pa.array(keys[:, 1])], names=["mark", "frag", "at", "s1", "s2"])
 
-    rows = cuts.mapInArrow(starts, "mark long, frag long, at int, s1 long, s2 long")
+    rows = cuts.transform(in_arrow, starts, "mark long, frag long, at int, s1 long, s2 long")
     often = rows.groupBy("s1", "s2").agg(F.count("*").alias("n")).filter("n > 1").select("s1", "s2")
     return rows.join(often, ["s1", "s2"]).select("mark", "frag", F.col("at").alias("from"), (F.col("at") + 1).cast("int").alias("to"))
 
@@ -271,4 +271,4 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int =
                 ids = pa.array([None if i == -(1 << 63) else i for i in part.column(0).to_pylist()], pa.int64())
                 yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(gone, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
-    return both.select("id", "data", "spans").mapInArrow(strip, "doc_id long, n_bytes long, spans array<struct<begin: long, end: long>>, kept binary")
+    return both.select("id", "data", "spans").transform(in_arrow, strip, "doc_id long, n_bytes long, spans array<struct<begin: long, end: long>>, kept binary")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +32,25 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends the package's modules to the session's Python workers, once, however the driver came to import them."""
+    context, package = spark.sparkContext, Path(__file__).parents[1]
+    if getattr(context, "_fringeworks_shipped", False) or not package.is_dir():
+        return
+    path = os.path.join(tempfile.mkdtemp(), "fringeworks.zip")  # Spark's file server takes it from the driver
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(path)
+    context._fringeworks_shipped = True
+
+
+def in_arrow(df: DataFrame, f, schema) -> DataFrame:
+    """``df.mapInArrow(f, schema)`` with workers that know this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(f, schema)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

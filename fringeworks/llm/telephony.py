@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import in_arrow
+
 RATE, RESAMPLED = 8000, 16000
 BLOCK = 64
 PCM, ALAW, MULAW, ADPCM = 1, 6, 7, 0x11
@@ -157,7 +159,7 @@ def decode_column(df: DataFrame, media: str = "media", out: str = "pcm", rate: i
                 pcm = [decode(m, rate) for m in part.column(part.schema.get_field_index(media)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pcm, pa.binary())], names=[*part.schema.names, out])
 
-    return df.drop(out).mapInArrow(decoded, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.drop(out).schema) + f", `{out}` binary")
+    return df.drop(out).transform(in_arrow, decoded, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.drop(out).schema) + f", `{out}` binary")
 
 
 def payload(text: str | None) -> bytes:
@@ -176,7 +178,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
                 sizes = [len((t or "").encode()) for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array([wav(payload(t), MULAW) for t in texts], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(stored, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(in_arrow, stored, "doc_id long, n_bytes long, media binary")
 
 
 def described(stored: DataFrame, rate: int = RESAMPLED) -> DataFrame:
@@ -213,4 +215,4 @@ def described(stored: DataFrame, rate: int = RESAMPLED) -> DataFrame:
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(told, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.select("doc_id", "n_bytes", "media").transform(in_arrow, told, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
