@@ -35,6 +35,8 @@ BLOCK = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[^-]{0,20000}-----END [A-Z ]{0,
 NAMED = rf"(?i:{NAMES})[A-Za-z_]{{0,12}}[\"']?\s{{0,3}}[:=]{{1,2}}\s{{0,3}}[\"']?[^\s\"',;<>]{{6,}}"
 TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}"
 CANDIDATE = f"{BLOCK}|{NAMED}|{TOKEN}"
+#: What every candidate contains; found much faster than one.
+SIGN = "[0-9:=]|-----BEGIN"
 VALUE = rf"(?s)^(?:(?i:{NAMES})[A-Za-z_]{{0,12}}[\"']?\s{{0,3}}[:=]{{1,2}}\s{{0,3}}[\"']?)?(.*)$"
 NEAR = 48
 TREES, DEPTH, SEED, LABELLED = 40, 8, 11, 6000
@@ -53,7 +55,7 @@ def let(value: Column, f) -> Column:
 def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     """doc_id, th (hash of the text), finding (number in the text), start, end, value, before, after, path."""
     text = F.col("text").cast("string")
-    rows = docs.filter(text.rlike(CANDIDATE)).select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.col(path).cast("string").alias("path"))
+    rows = docs.filter(text.rlike(SIGN) & text.rlike(CANDIDATE)).select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.col(path).cast("string").alias("path"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("th"), "path", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("hits"), F.split("text", CANDIDATE, -1).alias("rest"))
     # Where a hit starts: after all that stands between hits so far, and the hits before it.
     ends = F.aggregate(
