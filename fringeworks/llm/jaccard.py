@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .scratch import broadcast_if_small, in_arrow, partitions, written
 
 WORDS = 500_000
-PIVOT_ROUNDS = 6
+PIVOT_ROUNDS = 2
 #: A candidate costs as much as so many signatures; of a segment's shingles, the share that only its own document has;
 #: share of pairs of documents that have the same text elsewhere, so that a segment without own shingles may agree.
 CANDIDATE, OWN, COMMON = 4.0, 0.8, 0.001
@@ -298,6 +298,47 @@ def verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     return rows.select("a", "b", "sa", "sb").transform(in_arrow, compared, schema)
 
 
+def near_pairs(open_: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
+    """The pairs (a, b) of a bucket's classes (sig, a, comp) in different components whose bitmaps may link.
+
+    Bitmaps of a bucket are compared within the task, so only what passes leaves it.
+    """
+
+    def of_bucket(rows: list[tuple]) -> Iterator[dict]:
+        least = min(len(r[4]) for r in rows)
+        bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(r[4], np.uint8).reshape(-1, least), 0) for r in rows]).view(np.uint64)
+        n = np.array([r[3] for r in rows])
+        comp = np.unique(np.array([(r[2]["k1"], r[2]["k2"]) for r in rows]), axis=0, return_inverse=True)[1].reshape(-1)
+        for i in range(len(rows) - 1):
+            apart = np.bitwise_count(bits[i] ^ bits[i + 1 :]).sum(1)
+            most = (n[i] + n[i + 1 :]) * (join.den - join.num) // (join.den + join.num)
+            for j in np.flatnonzero((apart <= most) & (comp[i] != comp[i + 1 :])) + i + 1:
+                yield {"a": rows[i][1], "b": rows[j][1]}
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.struct([("k1", pa.int64()), ("k2", pa.int64())])
+        schema = pa.schema([("a", kind), ("b", kind)])
+        held: list[tuple] = []
+        out: list[dict] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and held[0][0] != row[0]:
+                    for pair in of_bucket(held):
+                        out.append(pair)
+                        if len(out) >= 10_000:
+                            yield pa.RecordBatch.from_pylist(out, schema)
+                            out = []
+                    held = []
+                held.append(row)
+        out += of_bucket(held) if held else []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    rows = open_.select("sig", "a", "comp").join(sets.select(F.col("k").alias("a"), "n", "bits"), "a").select("sig", "a", "comp", "n", "bits")
+    rows = rows.repartition(partitions(open_.sparkSession), "sig").sortWithinPartitions("sig")
+    return rows.transform(in_arrow, found, "a struct<k1: long, k2: long>, b struct<k1: long, k2: long>")
+
+
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """(k, comp) after joining the components that a link (a, b) connects."""
     ends = labels.select(F.col("k").alias("a"), F.col("comp").alias("ca"))
@@ -322,7 +363,6 @@ def stars(edges: DataFrame) -> DataFrame:
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large, "stars")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v != m").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         small = small.unionByName(least.select(F.col("u").alias("hi"), F.col("m").alias("lo")))
@@ -386,8 +426,7 @@ def components(buckets: DataFrame, classes: DataFrame, sets: DataFrame, join: Jo
         if seed < PIVOT_ROUNDS and size["most"] > 4:
             pairs = open_.filter("a != b").select("a", "b")
         else:
-            other = open_.select("sig", F.col("a").alias("b"), F.col("comp").alias("other"))
-            pairs = open_.select("sig", "a", "comp").join(other, "sig").filter("comp < other").select("a", "b")
+            pairs = near_pairs(open_, sets, join)
             seed = PIVOT_ROUNDS
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         links = written(verified(pairs, sets, join), "verified")
