@@ -164,7 +164,7 @@ def test_commands(spark, tmp_path, capsys):
     rules = tmp_path / "rules.yml"
     rules.write_text("- spw:\n  - [1000, 1000]\n")
     parse = cli.parser().parse_args
-    cli.process(spark, parse(["process", "--ms", path, "--msout", out, "--summary", "--barber", "--optimize", "--flag-nan", "--flag-clip", "0", "100", "--flag-spectral-window", str(rules), "--frequency-average-factor", "2"]))
+    cli.process(spark, parse(["process", "--ms", path, "--msout", out, "--summary", "--barber", "--optimize", "--flag-nan", "--flag-clip", "-1", "100", "--flag-spectral-window", str(rules)]))
     assert "Max |v|" in capsys.readouterr().out and open_set(spark, out).nchan <= 2
     cli.process(spark, parse(["process", "--ms", path, "--apply", "--clobber", "--flag-uv-above", "0"]))
     assert open_set(spark, path).main.filter("not flag_row").isEmpty()
