@@ -38,6 +38,8 @@ def byte_alphabet() -> dict[int, str]:
 
 def cuts_words(tokenizer) -> bool:
     told = json.loads(tokenizer.to_str())
+    if any(t["normalized"] for t in told["added_tokens"]):  # may stand in a text in other letters than their own
+        return False
     before = (told["normalizer"] or {}).get("normalizers", []), (told["pre_tokenizer"] or {}).get("pretokenizers", [])
     kinds = [[x["type"] for x in steps] for steps in before]
     if kinds != [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]]:
@@ -71,8 +73,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model, self.alphabet, self.by_word = self.tokenizer.model, byte_alphabet(), cuts_words(self.tokenizer)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.runs = _Known(self._run, capacity)
         self.words = _Known(self._word, capacity)
 
@@ -99,6 +101,9 @@ class WordIds:
         get = self.words.__getitem__
         for text in texts:
             text = text or ""
+            if any(t in text for t in self.added):
+                out.append(self._ids(text))
+                continue
             for c in "\t\n\r\x0b\x0c":
                 if c in text:
                     text = text.replace(c, " ")
