@@ -6,6 +6,14 @@ changes between their kinds, the share that dictionary words cover, its path and
 the words beside it. A forest trained on labelled findings gives the probability
 that it is a secret.
 
+A block is taken whole, encrypted and PGP ones too; a quoted value is taken to its
+quote, an unquoted one to the next blank, quote, comma, semicolon or angle bracket.
+Not looked for: blocks without their END line (their lines may be long tokens), keys
+in other forms (PuTTY, SSH2 with four dashes, binary), values under six characters,
+values over several lines, values after a name without one of = : := == => (as in
+"password is x" or XML elements), names in other languages, and tokens without a
+telling name that have under 16 characters or no digit.
+
 Labelled findings are a parameter. ``generated_findings`` makes them by rule, half
 secrets and half what scanners mistake for them, where a corpus has no labels.
 
@@ -31,13 +39,19 @@ from pyspark.sql import functions as F
 from .scratch import broadcast_if_small, written
 
 NAMES = r"passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credential"
-BLOCK = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[^-]{0,20000}-----END [A-Z ]{0,20}PRIVATE KEY-----"
-NAMED = rf"(?i:{NAMES})[A-Za-z_]{{0,12}}[\"']?\s{{0,3}}[:=]{{1,2}}\s{{0,3}}[\"']?[^\s\"',;<>]{{6,}}"
-TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}"
+_KEY = r"[A-Z0-9 ]{0,20}PRIVATE KEY(?: BLOCK)?-----"
+#: To its own END line, whatever the body; never over another BEGIN. Possessive loops need no stack.
+BLOCK = rf"-----BEGIN {_KEY}[^-]*+(?:-(?!----(?:BEGIN|END) {_KEY})[^-]*+)*+-----END {_KEY}"
+_ASKED = rf"(?i:{NAMES})[A-Za-z0-9_]{{0,12}}[\"']?\s{{0,3}}(?:=>|[:=]{{1,2}})\s{{0,3}}"
+_QUOTED = "|".join(rf"{q}(?:[^{q}\\\r\n]|\\[^\r\n]){{6,}}+(?={q})" for q in "\"'")
+NAMED = rf"{_ASKED}(?:{_QUOTED}|[\"']?[^\s\"',;<>]{{6,}})"
+_CHARS = "A-Za-z0-9+/_=-"
+#: A name with a digit is no token: its value is wanted.
+TOKEN = rf"(?<![{_CHARS}])(?=[A-Za-z+/_=-]*+[0-9])(?=[{_CHARS}]{{16}})(?![A-Za-z0-9_]{{0,40}}?{NAMED})[{_CHARS}]{{16,}}"
 CANDIDATE = f"{BLOCK}|{NAMED}|{TOKEN}"
 #: What every candidate contains; found much faster than one.
 SIGN = "[0-9:=]|-----BEGIN"
-VALUE = rf"(?s)^(?:(?i:{NAMES})[A-Za-z_]{{0,12}}[\"']?\s{{0,3}}[:=]{{1,2}}\s{{0,3}}[\"']?)?(.*)$"
+VALUE = rf"(?s)^(?:{_ASKED}[\"']?)?(.*)$"
 NEAR = 48
 TREES, DEPTH, SEED, LABELLED = 40, 8, 11, 6000
 THRESHOLD = 0.5
@@ -105,7 +119,7 @@ def figures(found: DataFrame) -> DataFrame:
         "vowels": F.length(F.regexp_replace(F.lower(v), "[^aeiou]", "")) / F.greatest(F.length(F.regexp_replace(v, "[^A-Za-z]", "")), F.lit(1)),
         "covered": covered,
         "known_prefix": yes(v.rlike(r"^(AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|sk-|sk_live_|xox[abp]-|AIza|eyJ|npm_|-----BEGIN)")),
-        "named": yes(before.rlike(rf"({NAMES})[a-z_]{{0,12}}[\"']?\s*[:=]{{1,2}}\s*[\"']?$")),
+        "named": yes(before.rlike(rf"({NAMES})[a-z0-9_]{{0,12}}[\"']?\s*(=>|[:=]{{1,2}})\s*[\"']?$")),
         "quoted": yes(before.rlike("[\"']$")),
         "secret_near": yes(near.rlike(rf"({NAMES}|bearer|authorization|login)")),
         "digest_near": yes(near.rlike(r"(sha-?\d|md5|checksum|digest|commit|revision|integrity|etag|uuid|guid|fingerprint)")),
