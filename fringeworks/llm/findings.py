@@ -59,6 +59,11 @@ THRESHOLD = 0.5
 # Words that identifiers and placeholders are made of.
 DICTIONARY = "account address admin alpha app archive auth base beta branch build byte change class client cluster code commit config count create data database date default delete demo dev document dummy email enable error event example factory field file filter folder format function get group handler hash header here host image index info input insert item key label level line list local log main manager map master message method model module name network node number object option order output page param password path place placeholder port primary process project property provider public query read record release remote report request response result role root sample schema secret select server service session set size source stage start state status string style system table target task temp test text time title token type update upload user util value version view web window word write your".split()
 
+PREFIXES = ["AKIA", "ghp_", "sk-", "xoxb-", "glpat-", "AIza", "sk_live_"]
+KEYS = ["RSA PRIVATE KEY", "PRIVATE KEY", "OPENSSH PRIVATE KEY", "EC PRIVATE KEY", "ENCRYPTED PRIVATE KEY", "PGP PRIVATE KEY BLOCK"]
+#: Words around secrets that no name announces: none of them tells.
+UNTOLD = [w for w in DICTIONARY if w not in ("password", "secret", "token")]
+
 FEATURES = ["log_length", "digits", "uppers", "lowers", "others", "hex", "all_digits", "changes", "distinct", "vowels", "covered", "known_prefix", "named", "quoted", "secret_near", "digest_near", "number_near", "example_near", "test_path", "code_path"]
 
 
@@ -140,36 +145,41 @@ def generated_findings(spark: SparkSession, n: int = LABELLED, seed: int = SEED)
     hex_ = row("h")
     digits = F.translate(row("d"), "abcdef", "012345")
     word = lambda salt: pick(salt, DICTIONARY)
-    prefix = pick("prefix", ["AKIA", "ghp_", "sk-", "xoxb-", "glpat-", "AIza", "sk_live_"])
+    prefix = pick("prefix", PREFIXES)
     sub = lambda c, size: F.substring(c, F.lit(1), size)
     uuid = F.concat_ws("-", F.substring(hex_, 1, 8), F.substring(hex_, 9, 4), F.substring(hex_, 13, 4), F.substring(hex_, 17, 4), F.substring(hex_, 21, 12))
+    lines = F.substring(F.concat_ws("\n", *(F.regexp_replace(F.base64(F.unhex(row(f"line{i}"))), r"[\r\n=]", "") for i in range(24))), F.lit(1), some("size", 16, 2000))
     secrets = [
         sub(hex_, F.lit(40)), sub(hex_, F.lit(32)), sub(hex_, some("n", 32, 64)), sub(alnum, some("n", 20, 64)), sub(b64, some("n", 24, 88)),
         F.concat(prefix, sub(alnum, some("n", 16, 40))), F.concat(word("w"), sub(F.translate(b64, "+/=", "!@#"), some("n", 6, 14))), F.concat(F.lit("eyJ"), sub(alnum, some("n", 40, 80))),
+        F.concat(F.lit("-----BEGIN "), pick("key", KEYS), F.lit("-----\n"), pick("head", ["", "", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,5A0C\n\n", "Version: GnuPG v2\n\n"]), lines, F.lit("\n-----END "), pick("key", KEYS), F.lit("-----")),
+        F.concat(prefix, sub(alnum, some("n", 16, 40))),
     ]
     others = [
         sub(hex_, F.lit(40)), sub(hex_, F.lit(64)), sub(hex_, F.lit(32)), uuid, sub(digits, F.lit(16)), sub(digits, some("n", 16, 20)),
         F.concat_ws("_", word("w"), word("x"), word("y"), some("n", 1, 99).cast("string")), F.concat(F.lit("your_"), word("w"), F.lit("_key_here_123")),
         F.concat_ws("/", word("w"), word("x"), word("y"), F.concat(word("z"), some("n", 1, 9).cast("string"))), F.concat(F.lit("xxxxxxxxxxxx"), some("n", 10, 9999).cast("string")),
         F.concat_ws("-", some("n", 1990, 2030).cast("string"), F.lit("01-15"), word("w"), word("x")),
+        F.concat_ws(" ", F.lit("the"), word("w"), F.lit("of"), word("x"), F.lit("is"), word("y")),
     ]
-    choose = lambda salt, of: F.element_at(F.array(*of), (F.conv(F.substring(row(salt), 1, 7), 16, 10).cast("long") % len(of) + 1).cast("int"))
+    secret_kind = (F.conv(F.substring(row("kind"), 1, 7), 16, 10).cast("long") % len(secrets)).cast("int")
     names = ["password", "secret", "token", "api_key", "apikey", "access_key", "auth_key", "client_secret", "private_key", "API_TOKEN", "Token", "SECRET_KEY"]
     ask = F.concat(word("l"), F.lit(" "), pick("name", names), pick("op", [' = "', ": ", "=", " = '", '": "', "="]))
     bare = pick("bare", ["authorization: bearer ", "login with ", "curl -u token ", "token "])
-    kind = (F.conv(F.substring(row("kind"), 1, 7), 16, 10).cast("long") % 11).cast("int")
+    kind = (F.conv(F.substring(row("kind"), 1, 7), 16, 10).cast("long") % len(others)).cast("int")
     digest = pick("digest", ["sha256:", "commit ", "md5 = ", "checksum: ", "integrity sha512-", "etag ", "uuid ", "revision ", "digest "])
     number = pick("number", ["card ", "phone ", "order ", "invoice no ", "serial ", "timestamp ", ""])
     plain = F.concat(word("l"), F.lit(" "), word("m"), F.lit(" "))
+    untold = F.concat_ws(" ", pick("untold1", UNTOLD), pick("untold2", UNTOLD), F.lit(""))  # key blocks and prefixed tokens in prose
     fill = F.concat(pick("name", names), pick("op", [' = "', ": ", "="]))
-    other_before = F.when(kind <= 3, F.concat(word("l"), F.lit(" "), digest)).when(kind <= 5, F.concat(word("l"), F.lit(" "), number)).when(kind.isin(7, 9), fill).otherwise(plain)
+    other_before = F.when(kind <= 3, F.concat(word("l"), F.lit(" "), digest)).when(kind <= 5, F.concat(word("l"), F.lit(" "), number)).when(kind.isin(7, 9, 11), fill).otherwise(plain)
     rows = spark.range(0, n, 1, 4).withColumn("label", (F.col("id") % 2).cast("int"))
     paths = ["src1", "src7", "src12", "app/settings.py", "deploy/values.yaml", ".env", "web/config.json"]
     tests = ["tests/fixtures/data.json", "docs/example.md", "src3", "src0", "src15"]
     secret = F.col("label") == 1
     return rows.select(
-        F.when(secret, choose("kind", secrets)).otherwise(F.element_at(F.array(*others), kind + 1)).alias("value"),
-        F.when(secret, F.when(some("bare?", 0, 9) == 0, bare).otherwise(ask)).otherwise(other_before).alias("before"),
+        F.when(secret, F.element_at(F.array(*secrets), secret_kind + 1)).otherwise(F.element_at(F.array(*others), kind + 1)).alias("value"),
+        F.when(secret, F.when(secret_kind >= len(secrets) - 2, untold).when(some("bare?", 0, 9) == 0, bare).otherwise(ask)).otherwise(other_before).alias("before"),
         F.concat(pick("after", ['" ', "' ", " ", "\n", '", ']), word("r")).alias("after"),
         F.when(secret | (some("path?", 0, 1) == 0), pick("path", paths)).otherwise(pick("path", tests)).alias("path"),
         "label",
