@@ -31,8 +31,9 @@ from .scratch import written
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
-#: Standard deviations that the transformed statistics have at least.
-FLOORS = (0.08, 0.25, 1.0, 0.15, 1.0)
+#: Standard deviations that the transformed statistics have at least. The last is wide, so that
+#: no length alone comes near ``CUTOFF``: a million times the group's mean adds 3 to the distance.
+FLOORS = (0.08, 0.25, 1.0, 0.15, 8.0)
 P = len(FLOORS)
 H = 0.75
 LEAST = 50
