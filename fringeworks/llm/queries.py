@@ -148,9 +148,9 @@ FROM sized s JOIN (SELECT x, min(y) AS component_id FROM reached GROUP BY x) r O
 
 def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .scratch import written
-    from .telephony import described, store_texts
+    from .telephony import decode_column, described, store_texts
 
-    return described(written(store_texts(documents(spark, sf_dir)), "telephony"))
+    return described(written(decode_column(written(store_texts(documents(spark, sf_dir)), "telephony")), "telephony_pcm"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

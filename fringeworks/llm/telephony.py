@@ -181,11 +181,11 @@ def store_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(in_arrow, stored, "doc_id long, n_bytes long, media binary")
 
 
-def described(stored: DataFrame, rate: int = RESAMPLED) -> DataFrame:
-    """Reads the samples of (doc_id, n_bytes, media) back and describes bytes and sound.
+def described(stored: DataFrame) -> DataFrame:
+    """Reads the samples of (doc_id, n_bytes, media, pcm) back and describes bytes and sound.
 
     ``feature``: peak and root mean square of the mu-law, A-law and ADPCM readings
-    of the payload, zero crossings of the first, and the crc32 of its resampled PCM.
+    of the payload, zero crossings of the first, and the crc32 of the samples in ``pcm``.
     """
 
     def level(x: np.ndarray) -> str:
@@ -197,7 +197,8 @@ def described(stored: DataFrame, rate: int = RESAMPLED) -> DataFrame:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 media = part.column(2).to_pylist()
-                tags, rates, _, data = zip(*map(parse, media))
+                tags, _, _, data = zip(*map(parse, media))
+                sounds = map(parse, part.column(3).to_pylist())
                 blocks = [len(d) // BLOCK for d in data]
                 edges = np.cumsum([0, *blocks])
                 adpcm = []
@@ -206,13 +207,12 @@ def described(stored: DataFrame, rate: int = RESAMPLED) -> DataFrame:
                     samples = adpcm_decode(some, BLOCK)
                     adpcm += [level(samples[edges[k] - edges[lo] : edges[k + 1] - edges[lo]].reshape(-1)) for k in range(lo, min(len(data), lo + 16))]
                 rows = []
-                for m, tag, r, d, a in zip(media, tags, rates, data, adpcm):
+                for m, tag, d, a, (_, r, _, pcm) in zip(media, tags, data, adpcm, sounds):
                     sound = expand(tag, 1, d)
                     crossings = int(np.count_nonzero(np.diff(np.signbit(sound))))
-                    pcm = zlib.crc32(resample(sound, r, rate).astype("<i2").tobytes())
-                    feature = f"mulaw {level(sound)} zc {crossings}; alaw {level(expand(ALAW, 1, d))}; adpcm {a}; pcm{rate} {pcm:08x}"
+                    feature = f"mulaw {level(sound)} zc {crossings}; alaw {level(expand(ALAW, 1, d))}; adpcm {a}; pcm{r} {zlib.crc32(pcm):08x}"
                     rows.append((len(d), hashlib.sha256(d).hexdigest(), zlib.crc32(d[-BLOCK:]), len(m), hashlib.sha256(m).hexdigest(), feature))
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return stored.select("doc_id", "n_bytes", "media").transform(in_arrow, told, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.select("doc_id", "n_bytes", "media", "pcm").transform(in_arrow, told, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
