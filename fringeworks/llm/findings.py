@@ -21,7 +21,9 @@ Only DataFrame and JVM machine-learning operations. Places are counted in
 characters from 0.
 
 Defined results: null and empty texts have no findings; a null path has no path
-figures; equal rows have findings of their own; an empty table gives no rows.
+figures; equal rows have findings of their own; very long texts are searched whole;
+a forest's tie at the threshold is a secret; an empty table gives no rows. ``redacted``
+gives all columns back, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import broadcast_if_small, written
+from .scratch import broadcast_if_small, in_row, out_of_row, written
 
 NAMES = r"passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credential"
 _KEY = r"[A-Z0-9 ]{0,20}PRIVATE KEY(?: BLOCK)?-----"
@@ -208,20 +210,26 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, path: str = "source
 
 
 MASK = "[SECRET]"
-#: Characters of secrets that may be broadcast; beyond, the join shuffles.
-MOST_VALUES = 20_000_000
+#: Places of secrets that may be broadcast; beyond, the join shuffles.
+MOST_PLACES = 1_000_000
 
 
 def redacted(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` with the values of their secrets in ``found`` replaced by ``MASK``; all rows and columns stay."""
-    values = found.filter("is_secret").groupBy("doc_id", "th").agg(F.collect_set("value").alias("_values"))  # as many as a document has
-    values = written(values.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "_values"), "secrets")
-    size = values.agg(F.sum(F.aggregate("_values", F.lit(0), lambda n, v: n + F.length(v))).alias("n")).first()["n"]
+    """``docs`` with ``MASK`` in the places of their secrets in ``found``; all rows and columns stay."""
+    places = found.filter("is_secret").groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("places"))  # as many as a document has
+    places = written(places, "secrets")
+    size = places.agg(F.sum(F.size("places")).alias("n")).first()["n"]
     if not size:
         return docs
-    values = broadcast_if_small(values) if size <= MOST_VALUES else values
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_th"))
-    rows = docs.join(values, same, "left")
-    longest = F.array_sort("_values", lambda a, b: F.length(b) - F.length(a))
-    text = F.when(F.col("_values").isNotNull(), F.aggregate(longest, F.col("text"), lambda t, v: F.replace(t, v, F.lit(MASK)))).otherwise(F.col("text"))
-    return rows.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    places = broadcast_if_small(places) if size <= MOST_PLACES else places
+    rows = in_row(docs, id=F.col("doc_id").cast("long"), hash=F.xxhash64(F.col("text").cast("string")))
+    rows = rows.join(places, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("th")), "left")
+    text = F.col("row.text")
+    part = lambda lo, hi: F.substring(text, (lo + 1).cast("int"), (hi - lo).cast("int"))
+    masked = F.aggregate(
+        "places",
+        F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at")),
+        lambda a, p: F.struct(F.concat(a["text"], part(a["at"], p["start"]), F.lit(MASK)).alias("text"), p["end"].alias("at")),
+        lambda a: F.concat(a["text"], part(a["at"], F.length(text).cast("long"))),
+    )
+    return out_of_row(rows, docs.columns, text=F.when(F.col("places").isNotNull(), masked).otherwise(text))

@@ -11,34 +11,54 @@ candidates expected from the number of sets in the band. A set whose empty
 segments hold at most ``s`` units does not write those, as another segment must
 agree too.
 
-Equal sets are one class. In each signature's bucket the classes are compared
-with a pivot, then those that are not yet in one component with a new pivot, and
-at last all pairs across components: no pair within a component is needed. A
-parity bitmap of each set bounds the difference from below and throws most false
+Equal sets are one class. Signatures travel to their buckets as sorted, packed
+blocks: a block sends one entry a signature, so a bucket gets as many as there are
+blocks at most; further classes that a block has with one signature are rows of
+their own, as that signature is known to be shared. In each bucket the classes are
+compared with a pivot, then those that are not yet in one component with a new
+one. What is still open then is compared pair by pair in buckets of up to ``SMALL``
+classes. A larger bucket is split: each class x has its difference R from the
+bucket's pivot, and |x ^ y| = |R(x) ^ R(y)|, so two similar classes, not both
+similar to the pivot, share one of the first ``H + 1`` elements of R in an order
+that puts what the pivot lacks first; those elements are the next buckets. What
+many texts share with the pivot is not in R, so such a passage holds no bucket
+together any more. After ``LEVELS`` splits buckets are compared whole.
+
+A parity bitmap of each set bounds the difference from below and throws most false
 candidates out; what is left is compared shingle by shingle.
 
-Shingles are 64-bit hashes, classes 128-bit hashes of all of a set's shingles.
+Shingles are 64-bit hashes, signatures 48-bit hashes (equal ones only make
+candidates), classes 128-bit hashes of all of a set's shingles.
 
 Defined results: null texts and texts without a word have an empty set and link
 with nothing; equal ids and equal rows are documents of their own; a null id is
-never a component's smallest id unless all are null; an empty table gives no rows.
+never a component's smallest id unless all are null; an empty table gives no rows;
+very long texts are sets like others, in bands of their own; columns but doc_id and
+text play no part, whatever their names, and ``one_of_each`` gives them back as
+they were.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import broadcast_if_small, in_arrow, partitions, written
+from .scratch import broadcast_if_small, discard, in_arrow, in_row, out_of_row, partitions, written
 
-WORDS = 500_000
-PIVOT_ROUNDS = 2
+#: Words whose hashes a worker keeps.
+WORDS = 100_000
+PIVOT_ROUNDS, SMALL, LEVELS = 2, 64, 4
+#: Signatures, and sets, of one block, and signatures expected in one part of the hash's range.
+BLOCK, BLOCK_SETS, PART = 1_000_000, 60_000, 2_000_000
+SIGNATURE_BITS = 48
 #: A candidate costs as much as so many signatures; of a segment's shingles, the share that only its own document has;
 #: share of pairs of documents that have the same text elsewhere, so that a segment without own shingles may agree.
 CANDIDATE, OWN, COMMON = 4.0, 0.8, 0.001
@@ -173,34 +193,24 @@ def signatures(found: np.ndarray, band: int, how: Allocation) -> np.ndarray:
     return mixed(values + mixed(places.astype(np.uint64) + salt))
 
 
-def allocations(docs: DataFrame, join: Join) -> tuple[list[tuple[int, int]], list[Allocation | None]]:
-    """The bands and their allocations, from the numbers of words of all texts: an upper bound of their shingles."""
-    n = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
+def allocations(docs: DataFrame, join: Join) -> tuple[list[tuple[int, int]], list[Allocation | None], int]:
+    """The bands, their allocations and about how many signatures they make, from the numbers of blanks in all texts."""
+    text = F.col("text").cast("string")
+    n = F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1
     log = F.floor(100 * F.log(F.col("n").cast("double"))).cast("int")
-    spread = docs.select(n.alias("n")).filter("n > 0").groupBy(log.alias("log")).agg(F.count("*").alias("sets"), F.max("n").alias("most")).collect()  # a row per hundredth of the logarithm
-    bands = join.bands(max((r["most"] for r in spread), default=0))
+    spread = docs.select(n.alias("n"), F.length(text).alias("size")).filter("size > 0").groupBy(log.alias("log")).agg(F.count("*").alias("sets"), F.max("size").alias("most")).collect()  # a row per hundredth of the logarithm
+    bands = join.bands(max(((r["most"] + 1) // 2 for r in spread), default=0))  # no text has more words
     starts = [b[0] for b in bands]
     in_band = np.zeros(len(bands) + 1, np.int64)
     for r in spread:
         in_band[max(0, int(np.searchsorted(starts, math.exp((r["log"] + 0.5) / 100), side="right")) - 1)] += r["sets"]
-    hows = []
+    hows, made = [], 0
     for k, (lo, hi) in enumerate(bands):
         apart = join.most_apart(2 * hi)
-        hows.append(allocate(lo, hi, apart, int(in_band[k] + in_band[max(0, k - 1)])) if apart else None)
-    return bands, hows
-
-
-def sets_of(docs: DataFrame, join: Join) -> DataFrame:
-    """k (the class: k1, k2), n, bits (parity bitmap) and shingles (8 bytes each) of each text."""
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                sets = [shingles(t, join.words) for t in batch.column(0)[at : at + 256].to_pylist()]
-                columns = [keys_of(sets), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["k", "n", "bits", "shingles"])
-
-    return docs.select(F.col("text").cast("string")).transform(in_arrow, made, "k struct<k1: long, k2: long>, n long, bits binary, shingles binary")
+        how = allocate(lo, hi, apart, int(in_band[k] + in_band[max(0, k - 1)])) if apart else None
+        hows.append(how)
+        made += int(in_band[k]) * 2 * (how.segments + int(how.two * hi / how.segments)) if how else 0
+    return bands, hows, made
 
 
 def keys_of(sets: list[np.ndarray]) -> pa.Array:
@@ -210,13 +220,117 @@ def keys_of(sets: list[np.ndarray]) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1])], ["k1", "k2"])
 
 
-def signed(docs: DataFrame, join: Join) -> DataFrame:
-    """doc_id, th, n_shingles, k and sigs: signatures in the set's own band and, as the smaller of a pair, in the next.
-
-    Only the first of equal sets in a task has signatures.
+KINDS = {
+    "part": pa.int32(), "doc_id": pa.int64(), "th": pa.int64(), "n_shingles": pa.int64(), "k": pa.struct([("k1", pa.int64()), ("k2", pa.int64())]),
+    "bits": pa.binary(), "sig": pa.int64(), "k1": pa.int64(), "packed": pa.binary(),
+}
+#: Rows of documents have k, rows of buckets have sig and k1.
+OUT = "doc_id long, th long, n_shingles long, k struct<k1: long, k2: long>, bits binary, sig long, k1 long"
+
+
+def rows_of(n: int, **columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns.get(name, pa.nulls(n, kind)) for name, kind in KINDS.items()], names=list(KINDS))
+
+
+def planes(x: np.ndarray) -> bytes:
+    """The numbers' lowest bytes, then their next ones, and so on."""
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def unplaned(data: bytes, kind: str, n: int) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(data, np.uint8).reshape(width, n).T.copy().view(kind).reshape(n)
+
+
+def pack(sig: np.ndarray, shared: np.ndarray, at: np.ndarray, keys: np.ndarray) -> bytes:
+    """Ascending signatures, whether each is known to be shared, and the keys[at] that have them."""
+    import zstandard
+
+    who, at = np.unique(at, return_inverse=True)
+    data = struct.pack("<II", len(sig), len(who)) + keys[who].tobytes() + planes(np.diff(sig, prepend=np.uint64(0))) + planes(at.astype("<u2")) + np.packbits(shared).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures, flags and keys."""
+    import zstandard
+
+    data = zstandard.ZstdDecompressor().decompress(data)
+    n, m = struct.unpack_from("<II", data)
+    at = 8 + 8 * m
+    keys = np.frombuffer(data[8:at], "<i8")
+    sig = np.cumsum(unplaned(data[at : at + 8 * n], "<u8", n), dtype=np.uint64)
+    who = unplaned(data[at + 8 * n : at + 10 * n], "<u2", n)
+    return sig, np.unpackbits(np.frombuffer(data[at + 10 * n :], np.uint8), count=n).astype(bool), keys[who]
+
+
+class Block:
+    """Signatures of a run of sets, each set's once."""
+
+    def __init__(self, parts: int):
+        self.parts, self.width = parts, -(-(1 << SIGNATURE_BITS) // parts)
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: set[tuple[int, int]] = set()
+        self.keys: list[int] = []
+        self.held: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, key: tuple[int, int], sigs: np.ndarray) -> None:
+        """``sigs`` keep their upper 48 bits; the lower 16 say whose they are."""
+        self.known.add(key)
+        self.held.append(sigs & np.uint64(0xFFFF_FFFF_FFFF_0000) | np.uint64(len(self.keys)))
+        self.keys.append(key[0])
+        self.size += len(sigs)
+
+    def full(self) -> bool:
+        return self.size >= BLOCK or len(self.known) >= BLOCK_SETS
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            x, keys = np.sort(np.concatenate(self.held)), np.array(self.keys, "<i8")
+            x = x[np.r_[True, x[1:] != x[:-1]]]
+            sig, at = x >> np.uint64(16), (x & np.uint64(0xFFFF)).astype(np.int64)
+            fresh = np.r_[True, sig[1:] != sig[:-1]]
+            if not fresh.all():
+                k1 = keys[at[~fresh]]
+                yield rows_of(len(k1), part=pa.array((k1 % self.parts).astype(np.int32)), sig=pa.array(sig[~fresh].view(np.int64)), k1=pa.array(k1))
+            first = np.flatnonzero(fresh)
+            shared, sig, at = np.diff(np.r_[first, len(sig)]) > 1, sig[first], at[first]
+            edges = np.searchsorted(sig, np.arange(self.parts + 1, dtype=np.uint64) * np.uint64(self.width))
+            for p in np.flatnonzero(np.diff(edges)).tolist():
+                here = slice(edges[p], edges[p + 1])
+                yield rows_of(1, part=pa.array([p], pa.int32()), packed=pa.array([pack(sig[here], shared[here], at[here], keys)]))
+        self.clear()
+
+
+def shared_of(entries: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """(sig, k1) of the signatures in ``entries`` that several classes have or that are known to be shared."""
+    sig, known, k1 = (np.concatenate(x) for x in zip(*entries))
+    order = np.argsort(sig, kind="stable")
+    same = sig[order[1:]] == sig[order[:-1]]
+    some = order[np.r_[False, same] | np.r_[same, False] | known[order]]
+    sig, known, k1 = sig[some], known[some], k1[some]
+    order = np.lexsort((k1, sig))
+    sig, known, k1 = sig[order], known[order], k1[order]
+    edge = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, np.int64)
+    fresh = np.r_[True, (sig[1:] != sig[:-1]) | (k1[1:] != k1[:-1])] if len(sig) else np.zeros(0, bool)
+    if len(sig):
+        many = (np.add.reduceat(fresh.astype(np.int64), edge) > 1) | np.logical_or.reduceat(known, edge)
+        fresh &= np.repeat(many, np.diff(np.r_[edge, len(sig)]))
+    sig, k1 = sig[fresh].view(np.int64), k1[fresh]
+    return rows_of(len(sig), sig=pa.array(sig), k1=pa.array(k1))
+
+
+def sets_and_buckets(docs: DataFrame, join: Join) -> DataFrame:
+    """Rows of documents (doc_id, th, n_shingles, k, bits) and of buckets (sig, k1): the classes of each signature that several have.
+
+    A set has signatures in its own band and, as the smaller of a pair, in the next.
     """
-    bands, hows = allocations(docs, join)
+    bands, hows, expected = allocations(docs, join)
     starts = np.array([b[0] for b in bands], np.int64)
+    parts = max(partitions(docs.sparkSession), -(-expected // PART))
 
     def sign(found: np.ndarray) -> np.ndarray:
         band = int(np.searchsorted(starts, len(found), side="right")) - 1
@@ -225,52 +339,89 @@ def signed(docs: DataFrame, join: Join) -> DataFrame:
         return np.concatenate([signatures(found, b, hows[b]) for b in own]) if len(found) and own else np.zeros(0, np.uint64)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[bytes] = set()
+        block = Block(parts)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sets = [shingles(t, join.words) for t in part.column(1).to_pylist()]
+                some = batch.slice(at, 256)
+                sets = [shingles(t, join.words) for t in some.column(1).to_pylist()]
                 keys = keys_of(sets)
-                sigs = []
                 for s, k in zip(sets, keys.to_pylist()):
                     k = (k["k1"], k["k2"])
-                    sigs.append(np.zeros(0, np.uint64) if k in done else sign(s))
-                    done.add(k)
-                if len(done) > WORDS:
-                    done.clear()
-                ends = pa.array(np.cumsum([0, *map(len, sigs)]), pa.int32())
-                lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sigs).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), keys, lists], names=["doc_id", "th", "n_shingles", "k", "sigs"])
+                    if len(s) and k not in block.known:
+                        block.add(k, sign(s))
+                        if block.full():
+                            yield from block.rows()
+                part = (keys.field("k1").to_numpy() % parts).astype(np.int32)
+                yield rows_of(len(sets), part=pa.array(part), doc_id=some.column(0), th=some.column(2), n_shingles=pa.array([len(s) for s in sets], pa.int64()), k=keys, bits=pa.array([bitmap(s) for s in sets], pa.binary()))
+        yield from block.rows()
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held, part = list(KINDS)[1:-1], [], None
+        for batch in batches:
+            is_packed = batch.column("packed").is_valid()
+            rest = batch.filter(pc.invert(is_packed)).select(out)
+            if rest.num_rows:
+                yield rest
+            packed = batch.filter(is_packed)
+            for p, data in zip(packed.column("part").to_pylist(), packed.column("packed").to_pylist()):
+                if held and p != part:
+                    yield shared_of(held).select(out)
+                    held = []
+                part = p
+                held.append(unpack(data))
+        if held:
+            yield shared_of(held).select(out)
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).transform(in_arrow, made, "doc_id long, th long, n_shingles long, k struct<k1: long, k2: long>, sigs array<long>")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).transform(in_arrow, made, "part int, " + OUT + ", packed binary")
+    return rows.repartition(parts, "part").sortWithinPartitions("part").transform(in_arrow, shared, OUT)
 
 
-def buckets_of(table: DataFrame) -> DataFrame:
-    """sig, k1: the classes of each signature that several have. Rows pass sorted; nothing is held but the last."""
+def class_texts(docs: DataFrame, one: DataFrame) -> DataFrame:
+    """c and data (the packed text) of the classes in ``one`` (c, doc_id, th, times)."""
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, known = np.zeros((2, 0), np.int64), False
+    def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        compress = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([compress(t.encode()) for t in part.column(1).to_pylist()], pa.binary())], names=["c", "data"])
+
+    wanted = broadcast_if_small(one.select("c", F.col("doc_id").alias("id"), F.col("th").alias("hash"), "times"))
+    found = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("hash")))
+    if one.filter("times > 1").limit(1).count():  # equal rows: one of them
+        found = found.filter("times = 1").unionByName(found.filter("times > 1").dropDuplicates(["c"]))
+    return found.select("c", "text").transform(in_arrow, press, "c long, data binary")
+
+
+def with_both(pairs: DataFrame, texts: DataFrame, join: Join, f: Callable, schema: str) -> DataFrame:
+    """``f(a, b, shingles of a, shingles of b)``, a row or None, for each pair (a, b)."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        sets = lambda data: shingles(zstandard.ZstdDecompressor().decompress(data).decode(), join.words)
+        last, sb = None, None
+        kinds = {"long": pa.int64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
+        kind = pa.schema([(n, kinds[t]) for n, t in (x.split() for x in schema.split(", "))])
         for batch in batches:
-            rows = np.concatenate([last, np.stack([c.to_numpy() for c in batch.columns])], 1)
-            fresh = np.r_[True, (rows[:, 1:] != rows[:, :-1]).any(0)]
-            rows = rows[:, fresh]
-            same = rows[0, 1:] == rows[0, :-1]
-            many = np.r_[known, same] | np.r_[same, False]
-            last, known = rows[:, -1:], bool(many[-1])
-            out = rows[:, :-1][:, many[:-1]]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["sig", "k1"])
-        if known:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], names=["sig", "k1"])
-
-    # Half of the class's hash is enough to tell the classes of one bucket apart, and moves less.
-    rows = table.select("k.k1", F.explode("sigs").alias("sig")).select("sig", "k1")
-    rows = rows.repartition(partitions(table.sparkSession), "sig").sortWithinPartitions("sig", "k1")
-    return rows.transform(in_arrow, shared, "sig long, k1 long")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
-    """The pairs (a, b: structs of k1, k2) whose sets link; ``sets`` has one row per class."""
-    narrow, wide = sets.select("k", "n", "bits"), sets.select("k", "shingles")
+            for at in range(0, batch.num_rows, 512):
+                rows = []
+                for a, b, ta, tb in zip(*(c.to_pylist() for c in batch.slice(at, 512).columns)):
+                    if b != last:
+                        last, sb = b, sets(tb)
+                    rows.append(f(a, b, sets(ta), sb))
+                yield pa.RecordBatch.from_pylist([r for r in rows if r], kind)
+
+    rows = pairs.join(texts.select(F.col("c").alias("a"), F.col("data").alias("ta")), "a")
+    rows = rows.join(texts.select(F.col("c").alias("b"), F.col("data").alias("tb")), "b")
+    return rows.select("a", "b", "ta", "tb").transform(in_arrow, each, schema)
+
+
+def similar(pairs: DataFrame, one: DataFrame, join: Join) -> DataFrame:
+    """The pairs (a, b) whose sizes and bitmaps allow a link."""
+    narrow = one.select("c", "n", "bits")
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,73 +430,94 @@ def verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
             keep = [low <= join.most_apart(int(s)) for low, s in zip(apart, n)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(join.den * both >= join.num * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    schema = "a struct<k1: long, k2: long>, b struct<k1: long, k2: long>"
-    rows = pairs.join(narrow.select(F.col("k").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a")
-    rows = rows.join(narrow.select(F.col("k").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")
+    rows = pairs.join(narrow.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a")
+    rows = rows.join(narrow.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")
     near = F.least("na", "nb") * join.den >= F.greatest("na", "nb") * join.num
-    rows = rows.filter(near).select("a", "b", "na", "nb", "ba", "bb").transform(in_arrow, bounded, schema)
-    rows = rows.join(wide.select(F.col("k").alias("a"), F.col("shingles").alias("sa")), "a")
-    rows = rows.join(wide.select(F.col("k").alias("b"), F.col("shingles").alias("sb")), "b")
-    return rows.select("a", "b", "sa", "sb").transform(in_arrow, compared, schema)
+    return rows.filter(near).select("a", "b", "na", "nb", "ba", "bb").transform(in_arrow, bounded, "a long, b long")
+
+
+def link(x: np.ndarray, y: np.ndarray, join: Join) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return join.den * both >= join.num * (len(x) + len(y) - both)
+
+
+def linking(pairs: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
+    """The pairs (a, b) whose sets link."""
+    return with_both(pairs, texts, join, lambda a, b, sa, sb: {"a": a, "b": b} if link(sa, sb, join) else None, "a long, b long")
 
 
-def near_pairs(open_: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
-    """The pairs (a, b) of a bucket's classes (sig, a, comp) in different components whose bitmaps may link.
+def elements(x: np.ndarray, pivot: np.ndarray, pivot_key: int, join: Join) -> np.ndarray:
+    """Buckets of ``x`` below a pivot: the first of their difference's elements, those that the pivot lacks first."""
+    larger = len(x) * join.den // join.num
+    most = join.most_apart(len(x) + larger) + 1
+    out, inside = np.setdiff1d(x, pivot, assume_unique=True), np.setdiff1d(pivot, x, assume_unique=True)
+    first = np.r_[np.sort(out), np.sort(inside)][:most]
+    return mixed(first ^ mixed(np.array([pivot_key], np.uint64))).view(np.int64)
+
+
+def split(pairs: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
+    """a, b, linked, and the next buckets sigs of ``a``, for each class ``a`` and pivot ``b``."""
+    found = lambda a, b, sa, sb: {"a": a, "b": b, "linked": link(sa, sb, join), "sigs": elements(sa, sb, b, join)}
+    return with_both(pairs, texts, join, found, "a long, b long, linked boolean, sigs array<long>")
+
+
+def near_pairs(open_: DataFrame, one: DataFrame, join: Join) -> DataFrame:
+    """The pairs (a, b) of a bucket's classes (sig, c, comp) in different components whose bitmaps may link.
 
     Bitmaps of a bucket are compared within the task, so only what passes leaves it.
     """
 
-    def of_bucket(rows: list[tuple]) -> Iterator[dict]:
-        least = min(len(r[4]) for r in rows)
-        bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(r[4], np.uint8).reshape(-1, least), 0) for r in rows]).view(np.uint64)
-        n = np.array([r[3] for r in rows])
-        comp = np.unique(np.array([(r[2]["k1"], r[2]["k2"]) for r in rows]), axis=0, return_inverse=True)[1].reshape(-1)
-        for i in range(len(rows) - 1):
-            apart = np.bitwise_count(bits[i] ^ bits[i + 1 :]).sum(1)
+    def of_bucket(c: list[int], comp: list[int], n: list[int], bits: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        least = min(map(len, bits))
+        x = np.stack([np.bitwise_xor.reduce(np.frombuffer(b, np.uint8).reshape(-1, least), 0) for b in bits]).view(np.uint64)
+        c, comp, n = np.array(c), np.array(comp), np.array(n)
+        for i in range(len(c) - 1):
+            apart = np.bitwise_count(x[i] ^ x[i + 1 :]).sum(1)
             most = (n[i] + n[i + 1 :]) * (join.den - join.num) // (join.den + join.num)
-            for j in np.flatnonzero((apart <= most) & (comp[i] != comp[i + 1 :])) + i + 1:
-                yield {"a": rows[i][1], "b": rows[j][1]}
+            j = np.flatnonzero((apart <= most) & (comp[i] != comp[i + 1 :])) + i + 1
+            if len(j):
+                yield np.minimum(c[i], c[j]), np.maximum(c[i], c[j])
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.struct([("k1", pa.int64()), ("k2", pa.int64())])
-        schema = pa.schema([("a", kind), ("b", kind)])
         held: list[tuple] = []
-        out: list[dict] = []
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def told() -> pa.RecordBatch:
+            a, b = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and held[0][0] != row[0]:
-                    for pair in of_bucket(held):
+                    for pair in of_bucket(*list(zip(*held))[1:]):
                         out.append(pair)
                         if len(out) >= 10_000:
-                            yield pa.RecordBatch.from_pylist(out, schema)
-                            out = []
+                            yield told()
+                            out.clear()
                     held = []
                 held.append(row)
-        out += of_bucket(held) if held else []
-        if out:
-            yield pa.RecordBatch.from_pylist(out, schema)
+        if held:
+            out += of_bucket(*list(zip(*held))[1:])
+        yield told()
 
-    rows = open_.select("sig", "a", "comp").join(sets.select(F.col("k").alias("a"), "n", "bits"), "a").select("sig", "a", "comp", "n", "bits")
+    rows = open_.select("sig", "c", "comp").join(one.select("c", "n", "bits"), "c").select("sig", "c", "comp", "n", "bits")
     rows = rows.repartition(partitions(open_.sparkSession), "sig").sortWithinPartitions("sig")
-    return rows.transform(in_arrow, found, "a struct<k1: long, k2: long>, b struct<k1: long, k2: long>")
+    return rows.transform(in_arrow, found, "a long, b long")
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """(k, comp) after joining the components that a link (a, b) connects."""
-    ends = labels.select(F.col("k").alias("a"), F.col("comp").alias("ca"))
-    edges = links.join(ends, "a").join(labels.select(F.col("k").alias("b"), F.col("comp").alias("cb")), "b").filter("ca != cb")
+    """(c, comp) after joining the components that a link (a, b) connects."""
+    known = broadcast_if_small(labels)
+    ends = known.select(F.col("c").alias("a"), F.col("comp").alias("ca"))
+    edges = links.join(ends, "a").join(known.select(F.col("c").alias("b"), F.col("comp").alias("cb")), "b").filter("ca != cb")
     under = stars(edges.select(F.greatest("ca", "cb").alias("hi"), F.least("ca", "cb").alias("lo")))
-    found = labels.join(under.select(F.col("hi").alias("comp"), "lo"), "comp", "left")
-    return written(found.select("k", F.coalesce("lo", "comp").alias("comp")), "labels")
+    if not under.limit(1).count():
+        discard(under)
+        return labels
+    found = labels.join(broadcast_if_small(under).select(F.col("hi").alias("comp"), "lo"), "comp", "left")
+    out = written(found.select("c", F.coalesce("lo", "comp").alias("comp")), "labels")
+    discard(labels, under)
+    return out
 
 
 def stars(edges: DataFrame) -> DataFrame:
@@ -366,71 +538,101 @@ def stars(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v != m").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         small = small.unionByName(least.select(F.col("u").alias("hi"), F.col("m").alias("lo")))
-        edges = written(small.distinct(), "stars")
+        before, edges = edges, written(small.distinct(), "stars")
+        discard(before)
+
+
+def opened(buckets: DataFrame, labels: DataFrame, seed: int) -> DataFrame:
+    """sig, c, comp, b (a pivot of seeded choice) and size of the buckets (sig, c) that have classes of several components."""
+    mask = F.lit(int(mixed(np.array([seed + 1], np.uint64))[0] >> np.uint64(1)))
+    rows = buckets.join(broadcast_if_small(labels), "c")
+    several = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.col("c").bitwiseXOR(mask)).alias("p"), F.count("*").alias("size")).filter("lo != hi")
+    several = written(several.select("sig", F.col("p").bitwiseXOR(mask).alias("b"), "size"), "several")
+    out = written(rows.join(several, "sig").select("sig", "c", "comp", "b", "size"), "open_buckets")
+    discard(several)
+    return out
+
+
+def components(buckets: DataFrame, one: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
+    """(c, comp) of the classes in ``one`` after linking those that share a bucket (sig, c). ``buckets`` goes."""
+    labels = written(one.select("c", F.col("c").alias("comp")), "labels")
+    ordered = lambda rows: rows.filter("c != b").select(F.least("c", "b").alias("a"), F.greatest("c", "b").alias("b")).distinct()
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs, "pairs")
+        links = written(linking(pairs, texts, join), "links")
+        discard(pairs)
+        return links
+
+    seed, source = 0, buckets
+    for level in range(LEVELS + 1):
+        for last in [False] * PIVOT_ROUNDS + [True]:
+            open_ = opened(buckets, labels, seed)
+            discard(source)
+            seed, source = seed + 1, open_
+            if not (sizes := open_.agg(F.max("size").alias("most")).first()["most"]):
+                discard(open_)
+                return labels
+            if last:
+                break
+            links = checked(similar(ordered(open_), one, join))
+            labels = merged(labels, links)
+            discard(links)
+            buckets = open_.filter("c != b and size > 2").select("sig", "c")  # the pivot has met all others
+        small = open_ if level == LEVELS else open_.filter(F.col("size") <= SMALL)
+        links = checked(near_pairs(small, one, join).distinct())
+        if level == LEVELS or sizes <= SMALL:
+            labels = merged(labels, links)
+            discard(links, open_)
+            return labels
+        found = written(split(open_.filter((F.col("size") > SMALL) & (F.col("c") != F.col("b"))).select(F.col("c").alias("a"), "b").distinct(), texts, join), "split")
+        labels = merged(labels, links.unionByName(found.filter("linked").select("a", "b")))
+        discard(links, open_)
+        buckets, source = found.select(F.explode("sigs").alias("sig"), F.col("a").alias("c")), found
+    return labels
 
 
-def order(seed: int, column: str) -> Column:
-    return F.struct(F.xxhash64(F.lit(seed), column).alias("o"), F.col(column).alias("k"))
+def grouped(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th, n_shingles, comp) of every row of (doc_id, text), and (comp, size, first) of components with several rows."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    both = written(sets_and_buckets(docs, join), "sets")
+    table, rows = both.filter("k is not null"), both.filter("sig is not null").select("sig", "k1")
+    halves = written(rows.select("k1").distinct(), "bucket_classes")
+    members = table.filter("n_shingles > 0").withColumn("k1", F.col("k.k1")).join(broadcast_if_small(halves), "k1", "left_semi")
+    members = members.groupBy("k", "doc_id", "th").agg(F.count("*").alias("times"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))
+    one = members.groupBy("k").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "times", "n", "bits")).alias("one"))
+    one = written(one.select(F.monotonically_increasing_id().alias("c"), "k", "one.*"), "classes")
+    buckets = written(rows.join(broadcast_if_small(one.select(F.col("k.k1").alias("k1"), "c")), "k1").select("sig", "c"), "buckets")
+    texts = written(class_texts(docs, one), "class_texts")
+    labels = components(buckets, one, texts, join)
+    moved = labels.filter("c != comp").join(one.select("c", "k"), "c").join(one.select(F.col("c").alias("comp"), F.col("k").alias("into")), "comp")
+    moved = written(moved.select("k", "into"), "moved_classes")
+    discard(halves, texts, labels, one)
+    rows = table.join(broadcast_if_small(moved), "k", "left").select("doc_id", "th", "n_shingles", F.coalesce("into", "k").alias("comp"))
+    rows = written(rows, "components")
+    discard(both, moved)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")
+    groups = rows.filter("n_shingles > 0").groupBy("comp").agg(F.count("*").alias("size"), first).filter("size > 1")
+    return rows, written(groups, "groups")
 
 
 def linked(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """doc_id, th (hash of the text), n_shingles, k (class: k1, k2), comp (a class, one per component) and component_id of every row of (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = written(signed(docs, join), "signed")
-    buckets = written(buckets_of(table), "halves")
-    halves = broadcast_if_small(written(buckets.select("k1").distinct(), "bucket_classes"))
-    members = table.filter("n_shingles > 0").select("doc_id", "k", F.col("k.k1").alias("k1")).join(halves, "k1", "left_semi")
-    one = members.groupBy("k").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id")).alias("one"))
-    one = written(one.select("k", F.col("k.k1").alias("k1"), F.col("one.doc_id").alias("id")), "class_documents")
-    classes = one.select("k")
-    wanted = broadcast_if_small(classes)
-    buckets = written(buckets.join(broadcast_if_small(one.select("k1", "k")), "k1").select("sig", "k"), "buckets")
-    ids = broadcast_if_small(written(one.select("id").distinct(), "class_ids"))
-    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    few = sets_of(texts, join).join(wanted, "k", "left_semi")
-    few = written(few.groupBy("k").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("shingles").alias("shingles")), "class_sets")
-    comps = components(buckets, classes, few, join)
-    rows = table.select("doc_id", "th", "n_shingles", "k").join(comps, "k", "left").withColumn("comp", F.coalesce("comp", "k"))
-    least = rows.filter("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    rows = rows.join(least, "comp", "left")
-    own = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", "th", "n_shingles", "k", "comp", own.alias("component_id"))
+    """doc_id, th (hash of the text), n_shingles and component_id of every row of (doc_id, text)."""
+    rows, groups = grouped(docs, join)
+    rows = rows.join(broadcast_if_small(groups.select("comp", F.col("first.doc_id").alias("least"), "size")), "comp", "left")
+    own = F.when((F.col("n_shingles") > 0) & F.col("size").isNotNull(), F.col("least")).otherwise(F.col("doc_id"))
+    return rows.select("doc_id", "th", "n_shingles", own.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, join: Join) -> DataFrame:
     """``docs`` with one row of each component, of smallest (doc_id, hash of the text); empty sets all stay."""
-    id_, th = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
-    rows = linked(docs, join).filter("n_shingles > 0").select(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "th").alias("row"), "comp")
-    groups = rows.groupBy("comp").agg(F.count("*").alias("n"), F.min("row").alias("first")).filter("n > 1").select("comp", "first")
-    grouped = rows.join(broadcast_if_small(written(groups, "groups")), "comp")
-    grouped = grouped.groupBy("row").agg(F.max(F.col("row") == F.col("first")).alias("_first"), F.count("*").alias("_n"))
-    grouped = written(grouped.select(F.col("row.doc_id").alias("_id"), F.col("row.th").alias("_th"), "_first", "_n"), "grouped")
-    both = docs.join(broadcast_if_small(grouped), id_.eqNullSafe(F.col("_id")) & (th == F.col("_th")), "left")
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    alone = both.filter("_first is null or (_first and _n = 1)").select(*names)
-    again = both.filter("_first and _n > 1").dropDuplicates(["_id", "_th"])  # the first's id and text stand in several rows
-    return alone.unionByName(again.select(*names))
-
-
-def components(buckets: DataFrame, classes: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
-    """(k, comp) of the classes that share a signature (sig, k) with another."""
-    labels = written(classes.select("k", F.col("k").alias("comp")), "labels")
-    for seed in range(PIVOT_ROUNDS + 1):
-        open_ = buckets.join(labels, "k")
-        several = open_.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(order(seed, "k")).alias("p"), F.count("*").alias("n")).filter("lo != hi")
-        several = several.select("sig", F.col("p.k").alias("b"), "n")
-        open_ = written(open_.join(several, "sig").select("sig", F.col("k").alias("a"), "comp", "b", "n"), "open_buckets")
-        size = open_.agg(F.count("*").alias("n"), F.max("n").alias("most")).first()
-        if not size["n"]:
-            break
-        if seed < PIVOT_ROUNDS and size["most"] > 4:
-            pairs = open_.filter("a != b").select("a", "b")
-        else:
-            pairs = near_pairs(open_, sets, join)
-            seed = PIVOT_ROUNDS
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = written(verified(pairs, sets, join), "verified")
-        labels = merged(labels, links)
-        if seed == PIVOT_ROUNDS:
-            break
-    return labels
+    rows, groups = grouped(docs, join)
+    marks = rows.filter("n_shingles > 0").join(broadcast_if_small(groups.select("comp", "first")), "comp")
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
+    marks = marks.groupBy("doc_id", "th").agg(F.max(is_first).alias("is_first"), F.count("*").alias("times"))
+    marks = written(marks, "marks")
+    docs_ = in_row(docs, id=F.col("doc_id").cast("long"), hash=F.xxhash64(F.col("text").cast("string")))
+    both = docs_.join(broadcast_if_small(marks), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("th")), "left")
+    alone = both.filter("is_first is null or (is_first and times = 1)")
+    again = both.filter("is_first and times > 1").dropDuplicates(["id", "hash"])  # the first's id and text stand in several rows
+    return out_of_row(alone, docs.columns).unionByName(out_of_row(again, docs.columns))

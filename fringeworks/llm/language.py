@@ -11,7 +11,10 @@ blank. All sums are of integers, so results do not depend on the order of rows.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0;
 without any prototype every document is ``und``. Ties go to the first language in
-code-point order.
+code-point order. Very long texts are bundled whole, their n-grams counted at once;
+equal rows have equal answers; a null language teaches nothing; an empty table gives
+no rows. All columns of ``docs`` stay; a clash with the names of the two new ones is
+an error, and both names are parameters.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ DIMENSIONS = 1024
 N = 3
 SEED = 7
 #: n-gram vectors kept by a worker (1 KB each); beyond, the memory is filled anew.
-KEPT = 60_000
+KEPT = 20_000
 CHUNK = 200_000
 BLANK = 32
 
@@ -100,8 +103,8 @@ class Profiles:
             return np.zeros((len(held), self.dimensions))
         row = np.repeat(np.arange(len(held)), [len(h) for h in held])
         out = np.zeros((len(held), self.dimensions))
-        for lo in range(0, len(found), 8192):
-            hi = min(len(found), lo + 8192)
+        for lo in range(0, len(found), 2048):
+            hi = min(len(found), lo + 2048)
             inside = (where >= lo) & (where < hi)
             counts = np.bincount(row[inside] * (hi - lo) + where[inside] - lo, minlength=len(held) * (hi - lo))
             # Sums stay below 2**24, exact as 32-bit floats, for counts of a chunk; longer texts use 64 bits.
@@ -130,6 +133,7 @@ def prototypes(docs: DataFrame, dimensions: int = DIMENSIONS, n: int = N, seed:
                 for lang in sorted(set(langs[at : at + len(rows)])):
                     mine = [k for k in range(len(rows)) if langs[at + k] == lang]
                     sums[lang] = sums.get(lang, 0) + rows[mine].sum(0).astype(np.int64)
+        make.forget()
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], names=["lang", "v"])
 
@@ -143,9 +147,10 @@ def prototypes(docs: DataFrame, dimensions: int = DIMENSIONS, n: int = N, seed:
     return langs, out
 
 
-def identify(docs: DataFrame, langs: list[str], vectors: np.ndarray, n: int = N, seed: int = SEED) -> DataFrame:
-    """Adds lang_pred and score (cosine, from 0 to 1) of every whole text to ``docs``; columns of these names are replaced."""
-    docs = docs.drop("lang_pred", "score")
+def identify(docs: DataFrame, langs: list[str], vectors: np.ndarray, n: int = N, seed: int = SEED, pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """Adds ``pred`` and ``score`` (cosine, from 0 to 1) of every whole text to ``docs``, which has no columns of these names."""
+    if taken := {pred.lower(), score.lower()} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs has columns of these names: {sorted(taken)}")
     text = docs.columns.index("text")
     dimensions = vectors.shape[1] if len(langs) else DIMENSIONS
     unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
@@ -164,7 +169,8 @@ def identify(docs: DataFrame, langs: list[str], vectors: np.ndarray, n: int = N,
                 best = cosine.argmax(1)
                 preds += [langs[b] if s else "und" for b, s in zip(best, size)]
                 scores.append(np.clip(np.where(size > 0, cosine.max(1), 0), 0, 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=[*batch.schema.names, pred, score])
+        make.forget()
 
-    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(pred, StringType()), StructField(score, DoubleType())])
     return docs.transform(in_arrow, judged, schema)

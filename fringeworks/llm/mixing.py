@@ -13,7 +13,9 @@ bucket per source are ever sorted together; a bucket is 1/4096 of a source.
 
 Defined results: null text has size 0 and takes 0; null source is a source of
 its own, last in order; rows with equal ids are separate documents, equal rows
-alike up to their order; an empty table gives no rows.
+alike up to their order, which is by id and size where hashes tie; very long texts
+are counted whole; an empty table gives no rows. ``mix`` reads no other columns than
+it is given; ``repeated`` gives all columns back, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import in_row, out_of_row, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 EPOCHS = 3
@@ -96,12 +98,11 @@ def repeated(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, seed: int =
     """
     size, th = n_words(F.col("text")), F.xxhash64("text")
     taken = mix(docs, size, weights, epochs, seed, th).filter("taken > 0")
-    share = taken.groupBy("doc_id", "source", "key", "size").agg(F.expr("sum(taken) div count(*)").alias("_taken"))
-    share = share.withColumnsRenamed({"doc_id": "_id", "source": "_source", "key": "_key", "size": "_size"})
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (th == F.col("_key"))
-    rows = docs.join(share, same)
-    copies = F.ceil(F.col("_taken") / F.col("_size")).cast("int")
-    rows = rows.filter("_taken > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
-    left = (F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")).cast("int")
-    text = F.when(left < F.col("_size"), first_words(F.col("text"), left)).otherwise(F.col("text"))
-    return rows.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    share = taken.groupBy("doc_id", "source", "key", "size").agg(F.expr("sum(taken) div count(*)").alias("share"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & F.col("src").eqNullSafe(F.col("source")) & (F.col("th") == F.col("key"))
+    rows = in_row(docs, id=F.col("doc_id"), src=F.col("source"), th=th).join(share.filter("share > 0"), same)
+    copies = F.ceil(F.col("share") / F.col("size")).cast("int")
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
+    left = (F.col("share") - (F.col("copy") - 1) * F.col("size")).cast("int")
+    text = F.col("row.text")
+    return out_of_row(rows, docs.columns, text=F.when(left < F.col("size"), first_words(text, left)).otherwise(text))

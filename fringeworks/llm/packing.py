@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .scratch import in_arrow, partitions, written
+from .scratch import discard, in_arrow, partitions, written
 from .wordids import encoder
 
 CAPACITY = 4096
@@ -178,4 +178,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of ``docs``."""
     # Written first: sampling for the ranges would encode every text a second time.
-    return pack(written(pieces(docs, tokenizer, capacity, end_id), "tokenised"), capacity)
+    found = written(pieces(docs, tokenizer, capacity, end_id), "tokenised")
+    out = pack(found, capacity)
+    discard(found)
+    return out

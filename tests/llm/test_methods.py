@@ -289,6 +289,31 @@ def test_jaccard_against_brute_force(spark, join):
     assert [x.component_id for x in rows] == wanted and [x.n_shingles for x in rows] == sizes
 
 
+@pytest.mark.parametrize("levels", [0, 1, 4])
+def test_large_buckets_are_split(spark, monkeypatch, levels):
+    """Documents that share a passage without being similar, chains of copies and copies of the passage, in buckets over SMALL."""
+    from fringeworks.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "SMALL", 3)
+    monkeypatch.setattr(jaccard, "LEVELS", levels)
+    r, join = random.Random(2), Join(3, 90, 100)
+    passages = [prose(500 + k, 60).split() for k in range(2)]
+    texts = []
+    for k in range(40):
+        own = [f"own{k}x{j}" for j in range(r.choice([10, 14, 20]))]
+        words = own + passages[0] + (passages[1] if k % 2 else [])
+        texts.append(" ".join(words))
+        if k % 4 == 0:
+            for j in range(4):  # each like the one before
+                words = [*words[: 9 + j], f"new{k}y{j}", *words[10 + j :]]
+                texts.append(" ".join(words))
+    texts += [" ".join(passages[0][k:]) for k in range(6)]
+    wanted, sizes = brute(texts, join)
+    rows = linked(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), join).orderBy("doc_id").collect()
+    assert [x.component_id for x in rows] == wanted and [x.n_shingles for x in rows] == sizes
+    assert len(set(wanted)) < len(texts)
+
+
 def test_signatures_meet_for_every_allocation():
     r = np.random.default_rng(5)
     for _ in range(300):
