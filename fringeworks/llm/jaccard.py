@@ -15,9 +15,8 @@ Equal sets are one class. Signatures travel to their buckets as sorted, packed
 blocks: a block sends one entry a signature, so a bucket gets as many as there are
 blocks at most; further classes that a block has with one signature are rows of
 their own, as that signature is known to be shared. In each bucket the classes are
-compared with a pivot, then those that are not yet in one component with a new
-one. What is still open then is compared pair by pair in buckets of up to ``SMALL``
-classes. A larger bucket is split: each class x has its difference R from the
+compared with a pivot. What is not yet in one component then is compared pair by
+pair in buckets of up to ``SMALL`` classes. A larger bucket is split: each class x has its difference R from the
 bucket's pivot, and |x ^ y| = |R(x) ^ R(y)|, so two similar classes, not both
 similar to the pivot, share one of the first ``H + 1`` elements of R in an order
 that puts what the pivot lacks first; those elements are the next buckets. What
@@ -55,7 +54,7 @@ from .scratch import broadcast_if_small, discard, in_arrow, in_row, out_of_row,
 
 #: Words whose hashes a worker keeps.
 WORDS = 100_000
-PIVOT_ROUNDS, SMALL, LEVELS = 2, 64, 4
+PIVOT_ROUNDS, SMALL, LEVELS = 1, 256, 4
 #: Signatures, and sets, of one block, and signatures expected in one part of the hash's range.
 BLOCK, BLOCK_SETS, PART = 1_000_000, 60_000, 2_000_000
 SIGNATURE_BITS = 48
@@ -226,6 +225,7 @@ KINDS = {
 }
 #: Rows of documents have k, rows of buckets have sig and k1.
 OUT = "doc_id long, th long, n_shingles long, k struct<k1: long, k2: long>, bits binary, sig long, k1 long"
+PACKED = f"part int, {OUT}, packed binary"
 
 
 def rows_of(n: int, **columns: pa.Array) -> pa.RecordBatch:
@@ -323,6 +323,29 @@ def shared_of(entries: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Re
     return rows_of(len(sig), sig=pa.array(sig), k1=pa.array(k1))
 
 
+def met(rows: DataFrame, parts: int) -> DataFrame:
+    """The rows of ``Block`` after their parts met: (sig, k1) of shared signatures only; other rows as they are."""
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held, part = list(KINDS)[1:-1], [], None
+        for batch in batches:
+            is_packed = batch.column("packed").is_valid()
+            rest = batch.filter(pc.invert(is_packed)).select(out)
+            if rest.num_rows:
+                yield rest
+            packed = batch.filter(is_packed)
+            for p, data in zip(packed.column("part").to_pylist(), packed.column("packed").to_pylist()):
+                if held and p != part:
+                    yield shared_of(held).select(out)
+                    held = []
+                part = p
+                held.append(unpack(data))
+        if held:
+            yield shared_of(held).select(out)
+
+    return rows.repartition(parts, "part").sortWithinPartitions("part").transform(in_arrow, shared, OUT)
+
+
 def sets_and_buckets(docs: DataFrame, join: Join) -> DataFrame:
     """Rows of documents (doc_id, th, n_shingles, k, bits) and of buckets (sig, k1): the classes of each signature that several have.
 
@@ -355,25 +378,7 @@ def sets_and_buckets(docs: DataFrame, join: Join) -> DataFrame:
                 yield rows_of(len(sets), part=pa.array(part), doc_id=some.column(0), th=some.column(2), n_shingles=pa.array([len(s) for s in sets], pa.int64()), k=keys, bits=pa.array([bitmap(s) for s in sets], pa.binary()))
         yield from block.rows()
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, held, part = list(KINDS)[1:-1], [], None
-        for batch in batches:
-            is_packed = batch.column("packed").is_valid()
-            rest = batch.filter(pc.invert(is_packed)).select(out)
-            if rest.num_rows:
-                yield rest
-            packed = batch.filter(is_packed)
-            for p, data in zip(packed.column("part").to_pylist(), packed.column("packed").to_pylist()):
-                if held and p != part:
-                    yield shared_of(held).select(out)
-                    held = []
-                part = p
-                held.append(unpack(data))
-        if held:
-            yield shared_of(held).select(out)
-
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).transform(in_arrow, made, "part int, " + OUT + ", packed binary")
-    return rows.repartition(parts, "part").sortWithinPartitions("part").transform(in_arrow, shared, OUT)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).transform(in_arrow, made, PACKED).transform(met, parts)
 
 
 def class_texts(docs: DataFrame, one: DataFrame) -> DataFrame:
@@ -396,23 +401,22 @@ def class_texts(docs: DataFrame, one: DataFrame) -> DataFrame:
 
 
 def with_both(pairs: DataFrame, texts: DataFrame, join: Join, f: Callable, schema: str) -> DataFrame:
-    """``f(a, b, shingles of a, shingles of b)``, a row or None, for each pair (a, b)."""
+    """``f`` of an iterator of (a, b, shingles of a, shingles of b) for all pairs (a, b); ``f`` yields record batches."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        sets = lambda data: shingles(zstandard.ZstdDecompressor().decompress(data).decode(), join.words)
-        last, sb = None, None
-        kinds = {"long": pa.int64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
-        kind = pa.schema([(n, kinds[t]) for n, t in (x.split() for x in schema.split(", "))])
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                rows = []
-                for a, b, ta, tb in zip(*(c.to_pylist() for c in batch.slice(at, 512).columns)):
-                    if b != last:
-                        last, sb = b, sets(tb)
-                    rows.append(f(a, b, sets(ta), sb))
-                yield pa.RecordBatch.from_pylist([r for r in rows if r], kind)
+        def read() -> Iterator[tuple]:
+            sets = lambda data: shingles(zstandard.ZstdDecompressor().decompress(data).decode(), join.words)
+            last, sb = None, None
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    for a, b, ta, tb in zip(*(c.to_pylist() for c in batch.slice(at, 512).columns)):
+                        if b != last:
+                            last, sb = b, sets(tb)
+                        yield a, b, sets(ta), sb
+
+        yield from f(read())
 
     rows = pairs.join(texts.select(F.col("c").alias("a"), F.col("data").alias("ta")), "a")
     rows = rows.join(texts.select(F.col("c").alias("b"), F.col("data").alias("tb")), "b")
@@ -443,7 +447,12 @@ def link(x: np.ndarray, y: np.ndarray, join: Join) -> bool:
 
 def linking(pairs: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
     """The pairs (a, b) whose sets link."""
-    return with_both(pairs, texts, join, lambda a, b, sa, sb: {"a": a, "b": b} if link(sa, sb, join) else None, "a long, b long")
+
+    def found(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        ends = [(a, b) for a, b, sa, sb in rows if link(sa, sb, join)]  # as many as the task has pairs
+        yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return with_both(pairs, texts, join, found, "a long, b long")
 
 
 def elements(x: np.ndarray, pivot: np.ndarray, pivot_key: int, join: Join) -> np.ndarray:
@@ -452,13 +461,24 @@ def elements(x: np.ndarray, pivot: np.ndarray, pivot_key: int, join: Join) -> np
     most = join.most_apart(len(x) + larger) + 1
     out, inside = np.setdiff1d(x, pivot, assume_unique=True), np.setdiff1d(pivot, x, assume_unique=True)
     first = np.r_[np.sort(out), np.sort(inside)][:most]
-    return mixed(first ^ mixed(np.array([pivot_key], np.uint64))).view(np.int64)
+    return mixed(first ^ mixed(np.array([pivot_key], np.uint64)))
 
 
 def split(pairs: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
-    """a, b, linked, and the next buckets sigs of ``a``, for each class ``a`` and pivot ``b``."""
-    found = lambda a, b, sa, sb: {"a": a, "b": b, "linked": link(sa, sb, join), "sigs": elements(sa, sb, b, join)}
-    return with_both(pairs, texts, join, found, "a long, b long, linked boolean, sigs array<long>")
+    """For classes a and their pivots b: rows of links, with k (a, b), and of the next buckets (sig, k1: a class)."""
+    parts = partitions(pairs.sparkSession)
+
+    def found(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        block = Block(parts)
+        for a, b, sa, sb in rows:
+            if link(sa, sb, join):
+                yield rows_of(1, part=pa.array([a % parts], pa.int32()), k=pa.array([{"k1": a, "k2": b}], KINDS["k"]))
+            block.add((a, b), elements(sa, sb, b, join))
+            if block.full():
+                yield from block.rows()
+        yield from block.rows()
+
+    return with_both(pairs, texts, join, found, PACKED).transform(met, parts)
 
 
 def near_pairs(open_: DataFrame, one: DataFrame, join: Join) -> DataFrame:
@@ -542,12 +562,24 @@ def stars(edges: DataFrame) -> DataFrame:
         discard(before)
 
 
+def mask(seed: int) -> Column:
+    return F.lit(int(mixed(np.array([seed + 1], np.uint64))[0] >> np.uint64(1)))
+
+
+def with_pivots(large: DataFrame, seed: int) -> DataFrame:
+    """(a, b): each class of the buckets (sig, c) with their pivots. Classes of many buckets come first as pivots, so that a class meets few."""
+    often = large.groupBy("c").agg(F.count("*").alias("often"))
+    rows = large.select("sig", "c").join(broadcast_if_small(written(often, "often")), "c")
+    pivots = rows.groupBy("sig").agg(F.min(F.struct((-F.col("often")).alias("o"), F.col("c").bitwiseXOR(mask(seed)).alias("m"), F.col("c").alias("b"))).alias("p"))
+    pivots = written(pivots.select("sig", "p.b"), "pivots")
+    return rows.join(pivots, "sig").filter("c != b").select(F.col("c").alias("a"), "b").distinct()
+
+
 def opened(buckets: DataFrame, labels: DataFrame, seed: int) -> DataFrame:
     """sig, c, comp, b (a pivot of seeded choice) and size of the buckets (sig, c) that have classes of several components."""
-    mask = F.lit(int(mixed(np.array([seed + 1], np.uint64))[0] >> np.uint64(1)))
     rows = buckets.join(broadcast_if_small(labels), "c")
-    several = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.col("c").bitwiseXOR(mask)).alias("p"), F.count("*").alias("size")).filter("lo != hi")
-    several = written(several.select("sig", F.col("p").bitwiseXOR(mask).alias("b"), "size"), "several")
+    several = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.col("c").bitwiseXOR(mask(seed))).alias("p"), F.count("*").alias("size")).filter("lo != hi")
+    several = written(several.select("sig", F.col("p").bitwiseXOR(mask(seed)).alias("b"), "size"), "several")
     out = written(rows.join(several, "sig").select("sig", "c", "comp", "b", "size"), "open_buckets")
     discard(several)
     return out
@@ -585,10 +617,11 @@ def components(buckets: DataFrame, one: DataFrame, texts: DataFrame, join: Join)
             labels = merged(labels, links)
             discard(links, open_)
             return labels
-        found = written(split(open_.filter((F.col("size") > SMALL) & (F.col("c") != F.col("b"))).select(F.col("c").alias("a"), "b").distinct(), texts, join), "split")
-        labels = merged(labels, links.unionByName(found.filter("linked").select("a", "b")))
-        discard(links, open_)
-        buckets, source = found.select(F.explode("sigs").alias("sig"), F.col("a").alias("c")), found
+        pairs = written(with_pivots(open_.filter(F.col("size") > SMALL), seed), "pairs")
+        found = written(split(pairs, texts, join), "split")
+        labels = merged(labels, links.unionByName(found.filter("k is not null").select(F.col("k.k1").alias("a"), F.col("k.k2").alias("b"))))
+        discard(links, pairs, open_)
+        buckets, source = found.filter("sig is not null").select("sig", F.col("k1").alias("c")), found
     return labels
 
 
