@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .scratch import in_arrow
+from .scratch import in_arrow, in_row
 
 DIMENSIONS = 1024
 N = 3
@@ -151,7 +151,7 @@ def identify(docs: DataFrame, langs: list[str], vectors: np.ndarray, n: int = N,
     """Adds ``pred`` and ``score`` (cosine, from 0 to 1) of every whole text to ``docs``, which has no columns of these names."""
     if taken := {pred.lower(), score.lower()} & {c.lower() for c in docs.columns}:
         raise ValueError(f"docs has columns of these names: {sorted(taken)}")
-    text = docs.columns.index("text")
+    rows = in_row(docs, text=F.col("text").cast("string"))  # a row's columns pass as one, whatever their names
     dimensions = vectors.shape[1] if len(langs) else DIMENSIONS
     unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
     shared = docs.sparkSession.sparkContext.broadcast((langs, unit))
@@ -161,7 +161,7 @@ def identify(docs: DataFrame, langs: list[str], vectors: np.ndarray, n: int = N,
         make = profiles(dimensions, n, seed)
         for batch in batches:
             preds, scores = [], []
-            for _, rows in make.bundles(batch.column(text).to_pylist()):
+            for _, rows in make.bundles(batch.column(1).to_pylist()):
                 size = np.linalg.norm(rows, axis=1)
                 if not langs:
                     size[:] = 0
@@ -169,8 +169,9 @@ def identify(docs: DataFrame, langs: list[str], vectors: np.ndarray, n: int = N,
                 best = cosine.argmax(1)
                 preds += [langs[b] if s else "und" for b, s in zip(best, size)]
                 scores.append(np.clip(np.where(size > 0, cosine.max(1), 0), 0, 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=[*batch.schema.names, pred, score])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(preds, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=["row", "pred", "score"])
         make.forget()
 
-    schema = StructType([*docs.schema.fields, StructField(pred, StringType()), StructField(score, DoubleType())])
-    return docs.transform(in_arrow, judged, schema)
+    schema = StructType([rows.schema["row"], StructField("pred", StringType()), StructField("score", DoubleType())])
+    found = rows.transform(in_arrow, judged, schema)
+    return found.select(*(F.col("row").getField(c).alias(c) for c in docs.columns), F.col("pred").alias(pred), F.col("score").alias(score))

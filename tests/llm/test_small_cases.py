@@ -14,6 +14,10 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the of and to in is that it was for on are with as his they at be this from have or by one had not but what all were".split()
 
 
+#: Names that the pipeline's operators use, or once used, for columns of their own.
+OWN_NAMES = ("_id", "_th", "_first", "_n", "_values", "_taken", "_size", "_key", "_source", "_copy", "row", "id", "th", "hash", "src", "share", "copy", "key", "places", "is_first", "times", "part", "sig", "c", "b", "one", "finding", "start", "end", "lang_pred_", "length2", "a.b")
+
+
 def prose(seed: int, n: int) -> str:
     r = random.Random(seed)
     return " ".join(r.choice(WORDS) + r.choice(["", "a", "er", "ing"]) for _ in range(n))
@@ -36,7 +40,7 @@ def edges(spark, tmp_path_factory):
     """A folder of tables with odd rows and extra columns whose names the operators use themselves."""
     folder = str(tmp_path_factory.mktemp("edges"))
     docs = spark.createDataFrame(edge_rows(), SCHEMA)
-    for c in ("score", "lang_pred", "size", "k", "comp", "g", "piece", "length", "media", "value", "_order", "taken"):
+    for c in ("score", "lang_pred", "size", "k", "comp", "g", "piece", "length", "media", "value", "_order", "taken", *OWN_NAMES):
         docs = docs.withColumn(c, F.lit("extra"))
     docs.repartition(3).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(6, 1, 0), (12, 0, 0), (12, 0, 0), (None, 1, 0), (5, None, 0), (99, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
@@ -68,7 +72,6 @@ def ids_of(text):
 
     if not hasattr(ids_of, "t"):
         ids_of.t = Tokenizer.from_file(q.tokenizer_path())
-        ids_of.t.encode_special_tokens = True
     return ids_of.t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -170,6 +173,9 @@ def test_pipeline(spark, edges, empty):
     assert one.columns == docs.columns
     ids = sorted((r.doc_id for r in one.collect()), key=lambda i: (i is None, i or 0))
     assert ids == [-5, 0, 1, 2, 3, 4, 5, 6, 8, 11, 12, 13, 14, None, None]
+    assert kept.columns == docs.columns and {(r.score, r.lang_pred, r._id) for r in kept.select("score", "lang_pred", "_id").collect()} == {("extra",) * 3}
     masked = pipeline.secrets(spark, docs, edges)
+    assert masked.columns == docs.columns and pipeline.mixture(spark, docs, edges).columns == docs.columns
+    assert pipeline.mixture(spark, docs, edges).filter("_th != 'extra' or `a.b` != 'extra'").count() == 0
     assert masked.count() == len(edge_rows()) and masked.filter("doc_id = 14").first().text == 'token = "[SECRET]" and so on'
     assert pipeline.run(spark, edges).count() > 0 and pipeline.run(spark, empty).count() == 0
