@@ -62,9 +62,17 @@ def write_new(vs: VisibilitySet, path: str, clobber: bool = False, split: str |
         raise RuntimeError(f"{path} exists; ask for it to be replaced")
     fresh = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
     _write(vs, fresh)
-    if exists(spark, path):
-        _delete(spark, path)
-    _move(spark, fresh, path)
+    if not exists(spark, path):
+        return _move(spark, fresh, path)
+    # The old set is there, under one name or the other, until the new one has its place.
+    old = f"{fresh}.old"
+    _move(spark, path, old)
+    try:
+        _move(spark, fresh, path)
+    except Exception:
+        _move(spark, old, path)
+        raise
+    _delete(spark, old)
 
 
 def update(vs: VisibilitySet, path: str, clobber: bool = False) -> None:
@@ -83,7 +91,7 @@ def update(vs: VisibilitySet, path: str, clobber: bool = False) -> None:
 
 def _write(vs: VisibilitySet, path: str) -> None:
     # Clustered by row_id: blocks of rows stay in few partitions, so averages combine before they shuffle.
-    vs.main.write.parquet(f"{path}/main")
+    vs.main.repartitionByRange("row_id").sortWithinPartitions("row_id").write.parquet(f"{path}/main")
     vs.channel.drop("ncorr").withColumn("ncorr", F.lit(vs.ncorr)).write.parquet(f"{path}/channel")
     vs.field.write.parquet(f"{path}/field")
 

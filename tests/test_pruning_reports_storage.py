@@ -129,6 +129,25 @@ def test_angles_and_image_size():
     assert image_size(0.0, 1e9, 1, 5) is None and image_size(1000.0, 1e9, 0.01, 5)[1] % 2 == 0
 
 
+def test_a_set_survives_a_replacement_that_fails(spark, tmp_path, monkeypatch):
+    from fringeworks.sources import storage
+
+    vs, path = to_set(spark, random_set(6, 5, 2)), f"file://{tmp_path}/x.set"
+    write_new(vs, path)
+    move, asked = storage._move, []
+
+    def failing(spark, old, new):
+        asked.append(new)
+        if len(asked) == 2:
+            raise RuntimeError("no")
+        move(spark, old, new)
+
+    monkeypatch.setattr(storage, "_move", failing)
+    with pytest.raises(RuntimeError):
+        write_new(vs, path, clobber=True)
+    assert open_set(spark, path).main.count() == 6 and len(asked) == 3
+
+
 def test_write_open_update(spark, tmp_path):
     path = f"file://{tmp_path}/set"
     vs = frequency_average(to_set(spark, random_set(6, 5, 2)), 2)
