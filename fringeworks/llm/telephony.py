@@ -185,7 +185,8 @@ def described(stored: DataFrame) -> DataFrame:
     """Reads the samples of (doc_id, n_bytes, media, pcm) back and describes bytes and sound.
 
     ``feature``: peak and root mean square of the mu-law, A-law and ADPCM readings
-    of the payload, zero crossings of the first, and the crc32 of the samples in ``pcm``.
+    of the payload, zero crossings of the first, and the crc32 of the samples in ``pcm``,
+    which stays as the last column.
     """
 
     def level(x: np.ndarray) -> str:
@@ -213,6 +214,6 @@ def described(stored: DataFrame) -> DataFrame:
                     feature = f"mulaw {level(sound)} zc {crossings}; alaw {level(expand(ALAW, 1, d))}; adpcm {a}; pcm{r} {zlib.crc32(pcm):08x}"
                     rows.append((len(d), hashlib.sha256(d).hexdigest(), zlib.crc32(d[-BLOCK:]), len(m), hashlib.sha256(m).hexdigest(), feature))
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds)), part.column(3)], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm"])
 
-    return stored.select("doc_id", "n_bytes", "media", "pcm").transform(in_arrow, told, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.select("doc_id", "n_bytes", "media", "pcm").transform(in_arrow, told, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm binary")
