@@ -4,9 +4,9 @@ In a block, data are the mean of unflagged cells (0 without any), weights their
 sigmas the root of the inverse of the summed inverse squares (1 without any), and a
 flag is set if any was: a mean without its flagged cells still counts as flagged.
 
-Channels are averaged within the row's arrays, without a shuffle. Rows are averaged
-by position: the cells of a block are combined in each partition before they move,
-so a table clustered by row_id sends about one row per block.
+Channels are averaged within the row's arrays, without a shuffle. Rows move once, to
+their block, whose at most ``factor`` rows one group holds; their arrays are combined
+there in the order of rows.
 """
 
 from __future__ import annotations
@@ -80,30 +80,35 @@ def time_average(vs: VisibilitySet, factor: int, rows: int | None = None) -> Vis
     rows = vs.main.count() if rows is None else rows
     block = F.expr(f"row_id div {factor}")
     kept = vs.main.filter(F.col("row_id") < rows // factor * factor).withColumn("_block", block)
-    meta = row_averages(kept)
     names = [c for c in ("data_re", "data_im", "flag", "weight_spectrum", "sigma_spectrum") if vs.has(c)]
-    cells = kept.select("_block", F.posexplode(F.arrays_zip(*names)).alias("pos", "c"))
-    good = ~F.col("c.flag")
-    count = or_one(F.sum(F.when(good, 1.0).otherwise(0.0)))
-    masked = lambda value: F.sum(F.when(good, value).otherwise(0.0))
-    sums = {
-        "data_re": masked(F.col("c.data_re")) / count,
-        "data_im": masked(F.col("c.data_im")) / count,
-        "flag": F.bool_or("c.flag"),
-    }
+    # In the order of rows, so that sums come out alike in every run.
+    old = F.array_sort(F.collect_list(F.struct("row_id", *names))).alias("_old")
+    main = row_averages(kept, old)
+    size = F.array_max(F.transform("_old", lambda r: F.size(r["flag"])))
+    places = F.array_repeat(F.lit(0), F.greatest(size, F.lit(0)))
+
+    def over(f, op, start) -> Column:
+        """For each cell ``op`` over ``f(row, position)`` of the block's rows; nulls count as ``start``."""
+        if factor <= UNROLLED:
+            return F.transform(places, lambda _, p: reduce(op, (F.coalesce(f(F.get("_old", F.lit(k)), p), start) for k in range(factor))))
+        return F.transform(places, lambda _, p: F.aggregate("_old", start, lambda a, r: op(a, F.coalesce(f(r, p), start))))
+
+    plus = lambda a, b: a + b
+    unflagged = lambda value: over(lambda r, p: F.when(~F.get(r["flag"], p), value(r, p)), plus, F.lit(0.0))
+    count = unflagged(lambda r, p: F.lit(1.0))
+    new = {"flag": over(lambda r, p: F.get(r["flag"], p), lambda a, b: a | b, F.lit(False))}
+    for c in ("data_re", "data_im"):
+        new[c] = F.zip_with(unflagged(lambda r, p, c=c: F.get(r[c], p)), count, lambda s, n: s / or_one(n))
     if vs.has("weight_spectrum"):
-        sums["weight_spectrum"] = masked(F.col("c.weight_spectrum"))
+        new["weight_spectrum"] = unflagged(lambda r, p: F.get(r["weight_spectrum"], p))
     if vs.has("sigma_spectrum"):
-        sums["sigma_spectrum"] = F.sqrt(F.lit(1.0) / or_one(masked(inverse_square(F.col("c.sigma_spectrum")))))
-    cells = cells.groupBy("_block", "pos").agg(*(sums[c].alias(c) for c in names))
-    nested = cells.groupBy("_block").agg(F.array_sort(F.collect_list(F.struct("pos", *names))).alias("cells"))
-    nested = nested.select("_block", *(F.col(f"cells.{c}").alias(c) for c in names))
-    main = meta.join(nested, "_block").withColumn("row_id", F.col("_block"))
-    return vs.having(main.select(*(F.col(f"`{c}`") for c in vs.main.columns)), *vs.main.columns, reshaped=True)
+        new["sigma_spectrum"] = F.transform(unflagged(lambda r, p: inverse_square(F.get(r["sigma_spectrum"], p))), lambda s: F.sqrt(F.lit(1.0) / or_one(s)))
+    new["row_id"] = F.col("_block")
+    return vs.having(main.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in vs.main.columns)), *vs.main.columns, reshaped=True)
 
 
-def row_averages(kept: DataFrame) -> DataFrame:
-    """Per _block the columns of rows: means and sums over rows that are not wholly flagged, firsts of the rest."""
+def row_averages(kept: DataFrame, *also: Column) -> DataFrame:
+    """Per _block ``also`` and the columns of rows: means and sums over rows that are not wholly flagged, firsts of the rest."""
     good = F.when(F.col("flag_row") | F.forall("flag", lambda x: x), 0.0).otherwise(1.0)
     first = lambda c: F.min_by(F.col(f"`{c}`"), "row_id")
     # A product, not a condition: a NaN in a flagged row stays one.
@@ -112,4 +117,4 @@ def row_averages(kept: DataFrame) -> DataFrame:
     found["flag_row"] = F.bool_or("flag_row")
     plane = {"row_id", "_block", "data_re", "data_im", "flag", "weight_spectrum", "sigma_spectrum"}
     names = [c for c in kept.columns if c not in plane]
-    return kept.withColumn("_good", good).groupBy("_block").agg(*((found[c] if c in found else first(c)).alias(c) for c in names))
+    return kept.withColumn("_good", good).groupBy("_block").agg(*((found[c] if c in found else first(c)).alias(c) for c in names), *also)

@@ -16,10 +16,10 @@ def dead_rows() -> Column:
     return F.col("flag_row") | all_flagged()
 
 
-def channel_states(vs: VisibilitySet) -> DataFrame:
-    """chan and dead: flagged in every cell of every row, also of rows that will be dropped."""
-    long = vs.main.select(F.posexplode("flag").alias("pos", "flag"))
-    return long.groupBy(F.expr(f"int(pos div {vs.ncorr})").alias("chan")).agg(F.bool_and("flag").alias("dead"))
+def channel_states(vs: VisibilitySet, *also: Column) -> DataFrame:
+    """chan and dead: flagged in every cell of every row, also of rows that will be dropped; ``also`` of ``_dead``, whether a row will be."""
+    long = vs.main.select(dead_rows().alias("_dead"), F.posexplode("flag").alias("pos", "flag"))
+    return long.groupBy(F.expr(f"int(pos div {vs.ncorr})").alias("chan")).agg(F.bool_and("flag").alias("dead"), *also)
 
 
 def prune_counts(vs: VisibilitySet) -> DataFrame:
@@ -46,7 +46,10 @@ def _gathered(column: str, places: Column) -> Column:
 
 def drop_dead_channels(vs: VisibilitySet) -> VisibilitySet:
     """One pass finds the dead channels; the arrays then keep the others, and the channel table with them."""
-    dead = {r["chan"] for r in channel_states(vs).filter("dead").collect()}
+    return _without_channels(vs, {r["chan"] for r in channel_states(vs).filter("dead").collect()})
+
+
+def _without_channels(vs: VisibilitySet, dead: set[int]) -> VisibilitySet:
     kept = [c for c in range(vs.nchan) if c not in dead]
     if len(kept) == vs.nchan:
         return vs
@@ -60,10 +63,11 @@ def drop_dead_channels(vs: VisibilitySet) -> VisibilitySet:
 
 def optimize(vs: VisibilitySet) -> VisibilitySet:
     """Drops dead rows and dead channels; a set of which nothing remains is a RuntimeError."""
-    if vs.main.filter(~dead_rows()).isEmpty():
+    # One pass for both; channels are judged on all rows, before any are dropped.
+    states = channel_states(vs, F.bool_or(~F.col("_dead")).alias("alive")).collect()
+    if not any(r["alive"] for r in states):
         raise RuntimeError("every row is flagged: nothing would remain")
-    # Channels are judged on all rows, before any are dropped.
-    return drop_dead_rows(drop_dead_channels(vs))
+    return drop_dead_rows(_without_channels(vs, {r["chan"] for r in states if r["dead"]}))
 
 
 def field_id(vs: VisibilitySet, field: str | int) -> int:

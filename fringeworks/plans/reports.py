@@ -1,4 +1,4 @@
-"""Reports as small DataFrames. Each is one aggregation of the rows it needs; columns it does not use are not read."""
+"""Reports as small DataFrames. Each is one aggregation of the rows it needs, percentiles a few; columns it does not use are not read."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import EARTH_TURN, LIGHT, amplitude, squared_uv, timestamp_of, uv_distance
+from ..functions.quantiles import exact_quantiles
 from ..sources.model import VisibilitySet
 
 UV_PERCENTILES = (25, 33, 50, 75, 95, 100)
@@ -53,9 +54,9 @@ def row_sizes(vs: VisibilitySet) -> DataFrame:
 
 
 def uv_percentiles(vs: VisibilitySet, at: tuple[float, ...] = UV_PERCENTILES) -> DataFrame:
-    """percentile and uv (m), exact, between neighbours in proportion."""
-    found = vs.main.agg(F.percentile(uv_distance(), F.lit([p / 100 for p in at])).alias("v"))
-    return found.select(F.explode(F.arrays_zip(F.lit([float(p) for p in at]).alias("percentile"), F.col("v").alias("uv"))).alias("x")).select("x.percentile", "x.uv")
+    """percentile and uv (m), exact, between neighbours in proportion; no rows for a set without rows."""
+    _, _, found = exact_quantiles(vs.main.select(uv_distance().alias("v")), [p / 100 for p in at], vs.main.count())
+    return vs.main.sparkSession.createDataFrame([(float(p), v) for p, v in zip(at, found)], "percentile double, uv double")
 
 
 def spectral(vs: VisibilitySet) -> DataFrame:
@@ -122,8 +123,9 @@ def strongest(vs: VisibilitySet, corr: int | None = None) -> DataFrame:
 
 def amplitude_statistics(vs: VisibilitySet, at: tuple[float, ...] = AMPLITUDE_PERCENTILES) -> DataFrame:
     """mean_amplitude and percentiles over all cells, flagged ones as 0."""
-    cells = _masked(vs).select(F.explode("_a").alias("a"))
-    return cells.agg(F.avg("a").alias("mean_amplitude"), F.percentile("a", F.lit([p / 100 for p in at])).alias("p")).select("mean_amplitude", *(F.col("p")[k].alias(f"p{str(p).replace('.', '_')}") for k, p in enumerate(at)))
+    _, mean, found = exact_quantiles(_masked(vs).select(F.explode("_a").alias("v")), [p / 100 for p in at], vs.main.count() * vs.nchan * vs.ncorr)
+    names = [f"p{str(p).replace('.', '_')}" for p in at]
+    return vs.main.sparkSession.createDataFrame([(mean, *(found or [None] * len(at)))], ", ".join(f"{c} double" for c in ("mean_amplitude", *names)))
 
 
 def image_report(vs: VisibilitySet, fov: float, oversampling: float = 5.0) -> DataFrame:

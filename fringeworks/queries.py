@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,11 +13,12 @@ from pyspark.sql import functions as F
 from .functions.numbers import angle
 from .operators.averaging import frequency_average, time_average
 from .operators.flagging import flag_frequencies, flag_uv_above, flag_values, frequency_counts, uv_above_counts, value_counts
-from .operators.pruning import channel_states, drop_dead_channels, drop_dead_rows, only_field, prune_counts
+from .operators.pruning import channel_states, drop_dead_channels, drop_dead_rows, only_field, optimize, prune_counts
 from .plans import reports
 from .plans.sequence import Steps, run
 from .sources.derived import from_events
 from .sources.model import VisibilitySet, cells
+from .sources.storage import open_set, rules_from, update, write_new
 
 UV, CLIP, FACTOR, FOV = 1000.0, (0.0, 2000.0), 3, "1.0 deg"
 RULES = [{"spw": [[1240, 1260]]}, {"spw": [[1000, 1050]], "uv_below": 600}, {"spw": [[1100, 1100]], "uv_below": 1000, "uv_above": 500}]
@@ -54,6 +58,61 @@ def _averaged(vs: VisibilitySet) -> VisibilitySet:
     return time_average(_nan(vs), FACTOR)
 
 
+def _stored(vs: VisibilitySet, **how) -> tuple[str, VisibilitySet]:
+    """A folder that driver and executors share, with the set written to it; the set as read back."""
+    spark = vs.main.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="fringeworks-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/sets/{uuid.uuid4().hex}"
+    write_new(vs, path, **how)
+    return path, open_set(spark, path)
+
+
+def _updated(vs: VisibilitySet) -> VisibilitySet:
+    path, old = _stored(vs)
+    update(_nan(old), path, clobber=True)
+    return open_set(vs.main.sparkSession, path)
+
+
+def _bare(vs: VisibilitySet) -> VisibilitySet:
+    """Without the columns a set need not have."""
+    return replace(vs, main=vs.main.drop("weight_spectrum", "sigma_spectrum", "interval", "exposure"))
+
+
+def _numbered(vs: VisibilitySet) -> VisibilitySet:
+    """With a further column of the plane's shape: the number of the cell, and one of another shape."""
+    number = F.transform("flag", lambda _, i: (F.col("row_id") * 16 + i).cast("double"))
+    return replace(vs, main=vs.main.withColumn("number", number).withColumn("pair", F.array(F.col("u"), F.col("v"))))
+
+
+def _numbers(vs: VisibilitySet) -> DataFrame:
+    cell = vs.main.select("row_id", F.get("pair", F.lit(1)).alias("second"), F.posexplode("number").alias("pos", "number"))
+    return cell.select("row_id", F.expr(f"int(pos div {vs.ncorr})").alias("chan"), (F.col("pos") % vs.ncorr).alias("corr"), "number", "second")
+
+
+def _refused(vs: VisibilitySet) -> DataFrame:
+    """What pruning says of a set without a good row."""
+    try:
+        optimize(replace(vs, main=vs.main.withColumn("flag_row", F.lit(True))))
+        said = "pruned"
+    except RuntimeError:
+        said = "refused"
+    return vs.main.sparkSession.sql(f"SELECT '{said}' AS verdict")
+
+
+YAML_RULES = """
+- spw: [[1240, 1260]]
+- spw: [[1000, 1050]]
+  uv_below: 600
+- spw: [[1100, 1100]]
+  uv_below: 1000
+  uv_above: 500
+"""
+
 _META = ("time", "u", "v", "w", "interval", "exposure")
 _PLANS: dict[str, Callable[[VisibilitySet], DataFrame]] = {
     "flag_uv_above": lambda v: _rows(flag_uv_above(v, UV), "flag_row"),
@@ -102,6 +161,16 @@ _PLANS: dict[str, Callable[[VisibilitySet], DataFrame]] = {
     "barber_stats": lambda v: _rounded(reports.amplitude_statistics(_nan(v))),
     "analyze_image_size": lambda v: _rounded(reports.image_report(v, angle(FOV))),
     "full_pipeline": lambda v: _whole(run(v, STEPS)),
+    "flag_no_rule": lambda v: _flags(flag_values(v)),
+    "flag_yaml_rules": lambda v: _flags(flag_frequencies(v, rules_from(YAML_RULES))),
+    "freq_avg_without_optional": lambda v: _data(frequency_average(_nan(_bare(v)), FACTOR)),
+    "time_avg_without_optional": lambda v: _data(_averaged(_bare(v))),
+    "freq_avg_other_columns": lambda v: _numbers(frequency_average(_numbered(v), FACTOR)),
+    "optimize_refused": _refused,
+    "store_open": lambda v: _whole(_stored(_nan(v))[1]),
+    "store_channels": lambda v: _stored(frequency_average(v, FACTOR))[1].channel.select("spw_id", "chan", "chan_freq_hz"),
+    "store_split": lambda v: _rows(_stored(v, split="purchase")[1], "field_id", "antenna1", "time"),
+    "store_update": lambda v: _flags(_updated(v)),
 }
 
 
@@ -218,7 +287,18 @@ def oracle_sql() -> dict[str, str]:
         "kept AS (SELECT chan, (row_number() OVER (ORDER BY chan) - 1)::INT AS k FROM dead WHERE NOT every)",
         "good AS (SELECT row_id FROM (SELECT row_id, bool_and(flag) AS every FROM c5 GROUP BY row_id) JOIN r5 USING (row_id) WHERE NOT (flag_row OR every))",
     ]
+    gated = _flag("c1", "c0", " OR ".join(f"(({a}) AND ({b}))" for a, b in _GATES))
     return {
+        "flag_no_rule": _sql(f"{flags} c0"),
+        "flag_yaml_rules": _sql(f"{flags} c1", gated),
+        "freq_avg_without_optional": _sql(f"SELECT {_CELL}, {_DATA} FROM c2", _NAN, avg_c),
+        "time_avg_without_optional": _sql(f"SELECT {_CELL}, {_DATA} FROM c2", _NAN, avg_t),
+        "freq_avg_other_columns": _sql("SELECT row_id, (chan // 3)::INT AS chan, corr, (row_id * 16 + chan * 2 + corr)::DOUBLE AS number, v AS second FROM c0 JOIN r0 USING (row_id) WHERE chan % 3 = 0"),
+        "optimize_refused": "SELECT 'refused' AS verdict",
+        "store_open": _sql(f"SELECT {_ALL} FROM c1", _NAN),
+        "store_channels": "SELECT 0::INT AS spw_id, (c // 3)::INT AS chan, avg(1e9 + 5e7 * c) AS chan_freq_hz FROM range(8) AS x(c) GROUP BY c // 3",
+        "store_split": _sql("SELECT row_id, field_id, antenna1, time FROM r0 WHERE field_id = 2"),
+        "store_update": _sql(f"{flags} c1", _NAN),
         "flag_uv_above": _sql(f"SELECT row_id, flag_row OR {far} AS flag_row FROM r0"),
         "flag_uv_above_stats": _sql(f"SELECT round(sqrt(max(u * u + v * v)), 6) AS max_uv, count(*) FILTER ({far}) AS rows_above, count(*) FILTER ({far} AND NOT flag_row) AS newly_flagged, count(*) FILTER ({far} OR flag_row) AS rows_flagged FROM r0"),
         "flag_nan": _sql(f"{flags} c1", _NAN),
