@@ -16,8 +16,8 @@ import os
 import re
 from array import array
 
-#: Words, and as many runs, that a worker keeps in each of two generations.
-CAPACITY = 400_000
+#: Words and runs together that a worker keeps in each of two generations, some 40 MB each.
+CAPACITY = 250_000
 #: Longer words are encoded but not kept.
 LONGEST_KEPT = 64
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
@@ -75,8 +75,7 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.alphabet, self.by_word = self.tokenizer.model, byte_alphabet(), cuts_words(self.tokenizer)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.runs = _Known(self._run, capacity)
-        self.words = _Known(self._word, capacity)
+        self.known = _Known(self._word, capacity)  # a run is a word as well, with the same ids
 
     def _ids(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -91,14 +90,15 @@ class WordIds:
     def _word(self, word: str) -> bytes:
         if not _PLAIN.fullmatch(word):
             return self._ids(word)
-        return b"".join([self.runs[run.lower()] for run in _RUNS.findall(word)])
+        runs = [run.lower() for run in _RUNS.findall(word)]
+        return self._run(word) if runs == [word] else b"".join([self.known[run] for run in runs])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Null texts count as empty."""
         if not self.by_word:
             return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
         out = []
-        get = self.words.__getitem__
+        get = self.known.__getitem__
         for text in texts:
             text = text or ""
             if any(t in text for t in self.added):
