@@ -7,7 +7,8 @@ the same shingles there; with two, they may differ by one, which the one-deletio
 neighbourhood of the segment finds. Similar sets differ in at most ``H`` shingles,
 so with ``H + 1 + s`` units at least ``s + 1`` units' worth of segments agree. How
 many segments get two units is chosen by cost: signatures written against
-candidates expected from the number of sets in the band. A set whose empty
+candidates expected from the number of sets in the band, of which a pivot leaves
+each class few, so that signatures do not grow faster than the documents. A set whose empty
 segments hold at most ``s`` units does not write those, as another segment must
 agree too.
 
@@ -61,6 +62,8 @@ SIGNATURE_BITS = 48
 #: A candidate costs as much as so many signatures; of a segment's shingles, the share that only its own document has;
 #: share of pairs of documents that have the same text elsewhere, so that a segment without own shingles may agree.
 CANDIDATE, OWN, COMMON = 4.0, 0.8, 0.001
+#: Candidates of one signature at most, however many sets there are: a class meets its bucket's pivot, and most of its buckets have the same few.
+MET = 0.2
 
 
 @dataclass(frozen=True)
@@ -121,13 +124,13 @@ def shingles(text: str | None, words: int) -> np.ndarray:
 
 
 def bitmap(found: np.ndarray) -> bytes:
-    """Parities of the shingles in a power of two of buckets, about four for each shingle."""
+    """Parities of the shingles in a power of two of buckets, one or two for each shingle."""
     size = bitmap_bits(len(found))
     return np.packbits(np.bincount((found >> np.uint64(20)).astype(np.int64) & (size - 1), minlength=size) & 1).tobytes()
 
 
 def bitmap_bits(n: int) -> int:
-    return 64 << max(0, (max(n, 1) * 4 // 64).bit_length())
+    return 64 << (n // 64).bit_length()
 
 
 def apart_at_least(a: bytes, b: bytes) -> int:
@@ -163,7 +166,7 @@ def allocate(lo: int, hi: int, apart: int, sets: int) -> Allocation:
         mean = size / m
         agree = COMMON * math.exp(-2 * OWN * mean)
         written_ = (m - two) + two * (1 + mean)
-        cost = written_ + CANDIDATE * sets * agree * ((m - two) + two * (1 + 2 * mean))
+        cost = written_ + CANDIDATE * min(sets * agree, MET) * ((m - two) + two * (1 + 2 * mean))
         if best is None or cost < best[0]:
             best = (cost, Allocation(m, two, max(0, 2 * two + (m - two) - apart - 1)))
     return best[1]
@@ -418,8 +421,10 @@ def with_both(pairs: DataFrame, texts: DataFrame, join: Join, f: Callable, schem
 
         yield from f(read())
 
-    rows = pairs.join(texts.select(F.col("c").alias("a"), F.col("data").alias("ta")), "a")
-    rows = rows.join(texts.select(F.col("c").alias("b"), F.col("data").alias("tb")), "b")
+    rows = pairs
+    for c, t in (("a", "ta"), ("b", "tb")):  # only texts that are in a pair move
+        wanted = broadcast_if_small(pairs.select(F.col(c).alias("c")).distinct())
+        rows = rows.join(texts.join(wanted, "c", "left_semi").select(F.col("c").alias(c), F.col("data").alias(t)), c)
     return rows.select("a", "b", "ta", "tb").transform(in_arrow, each, schema)
 
 
