@@ -51,7 +51,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import broadcast_if_small, discard, in_arrow, in_row, out_of_row, partitions, written
+from .scratch import broadcast_if_small, discard, in_arrow, in_row, kept_by_workers, out_of_row, partitions, written
 
 #: Words whose hashes a worker keeps.
 WORDS = 100_000
@@ -108,6 +108,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 _words = Words()
+kept_by_workers.append(_words)
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:

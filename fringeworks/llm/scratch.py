@@ -108,8 +108,9 @@ def ship(spark: SparkSession) -> None:
     context._fringeworks_shipped = True
 
 
-#: Bytes of an Arrow batch, in the worker and in the executor beside its heap.
-BATCH_BYTES = 16 << 20
+#: Bytes of an Arrow batch, in the worker and in the executor beside its heap. The C library's allocator
+#: keeps a multiple of the largest buffers for each of the executor's threads, so small ones cost it less.
+BATCH_BYTES = 2 << 20
 
 
 def give_back() -> None:
@@ -124,11 +125,35 @@ def give_back() -> None:
         trim(0)
 
 
+#: What workers keep from task to task of one function, as long as no other runs in them.
+kept_by_workers: list[dict] = []
+_ran_last: list[tuple] = []
+
+
+def turn_to(f) -> None:
+    """Drops what this worker keeps for another function than ``f``."""
+    name = (f.__module__, f.__qualname__)
+    if _ran_last != [name]:
+        for kept in kept_by_workers:
+            kept.clear()
+        _ran_last[:] = [name]
+
+
+def in_slices(batch):
+    """The rows of a record batch in slices of about ``BATCH_BYTES``, one row at least."""
+    n = max(1, min(batch.num_rows, -(-batch.nbytes // BATCH_BYTES)))
+    rows = -(-batch.num_rows // n)
+    for at in range(0, max(1, batch.num_rows), max(1, rows)):
+        yield batch.slice(at, rows) if n > 1 else batch
+
+
 def in_arrow(df: DataFrame, f, schema) -> DataFrame:
-    """``df.mapInArrow(f, schema)`` in small batches, with workers that know this package."""
+    """``df.mapInArrow(f, schema)`` in small batches both ways, with workers that know this package."""
 
     def run(batches):
-        yield from f(batches)
+        turn_to(f)
+        for batch in f(batches):
+            yield from in_slices(batch)
         give_back()
 
     ship(df.sparkSession)

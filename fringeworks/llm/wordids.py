@@ -16,6 +16,8 @@ import os
 import re
 from array import array
 
+from .scratch import kept_by_workers
+
 #: Words and runs together that a worker keeps in each of two generations, some 40 MB each.
 CAPACITY = 250_000
 #: Longer words are encoded but not kept.
@@ -112,10 +114,14 @@ class WordIds:
 
 
 _encoders: dict[str, WordIds] = {}
+kept_by_workers.append(_encoders)
 
 
 def encoder(path: str) -> WordIds:
-    """The worker's encoder for a tokenizer file; Spark reuses Python workers between tasks."""
+    """The worker's encoder for a tokenizer file; Spark reuses Python workers between tasks.
+
+    It goes when the worker turns to another function (``scratch.turn_to``).
+    """
     if path not in _encoders:
         _encoders[path] = WordIds(path)
     return _encoders[path]
