@@ -43,7 +43,7 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = removed(documents(spark, sf_dir))
     n_removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
-    return found.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_shared_words")
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,11 @@ A landmark whose different fragments are more than ``MOST`` does not go into one
 shard: its starts are grouped by the 128-bit hashes of their strings, in a shuffle
 that combines before it sends. Nothing is dropped.
 
+Shorter passages stay in the text but are told: ``n_shared_words`` counts the words
+of a document in runs of ``PASSAGE`` words that another document has as well.
+Landmarks of words find texts that may share a run, in shuffles of hashes; only
+the runs around shared landmarks are compared, by 64-bit hashes.
+
 Defined results: a null text is empty; texts shorter than ``LENGTH`` lose nothing;
 equal rows are documents of their own and so repeat each other; null ids are kept;
 an empty table gives no rows.
@@ -24,11 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .jaccard import mixed
-from .scratch import in_arrow, partitions, written
+from .jaccard import Words, mixed
+from .scratch import broadcast_if_small, in_arrow, kept_by_workers, partitions, written
 from .suffixes import permuted_prefixes, suffix_array
 
 LENGTH = 400
@@ -36,6 +41,10 @@ GRAM = 128
 MOST = 20_000
 #: Bytes of fragments in one suffix array, unless a landmark alone has more.
 SHARD = 4_000_000
+#: Words of a passage that counts as shared, and of its landmark.
+PASSAGE, PASSAGE_GRAM = 50, 25
+#: Texts whose shared landmarks may be broadcast, some 200 bytes each; beyond, the texts shuffle.
+MOST_MARKED = 100_000
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -55,20 +64,30 @@ class Powers:
 
 
 _powers: list[Powers] = []
+_words = Words()
+kept_by_workers.append(_words)
 
 
-def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """A 64-bit hash of every gram, by prefix sums of a polynomial."""
+def powers() -> Powers:
     if not _powers:
         _powers.append(Powers())
-    p = _powers[0]
-    p.grow(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(p.byte[data] * p.up[: len(data)], out=total[1:])
-    n = len(data) - gram + 1
+    return _powers[0]
+
+
+def rolled(values: np.ndarray, gram: int) -> np.ndarray:
+    """A 64-bit hash of every ``gram`` values in a row, by prefix sums of a polynomial."""
+    p = powers()
+    p.grow(len(values) + 1)
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * p.up[: len(values)], out=total[1:])
+    n = len(values) - gram + 1
     return mixed((total[gram:] - total[:n]) * p.down[:n])
 
 
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    return rolled(powers().byte[data], gram)
+
+
 def window_minimum(values: np.ndarray, width: int) -> np.ndarray:
     """Least value of each window, from running minima of blocks in both directions."""
     n = len(values) - width + 1
@@ -82,11 +101,15 @@ def window_minimum(values: np.ndarray, width: int) -> np.ndarray:
 
 def fragments(data: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Landmark hash, first start and end of starts of each fragment of a text of ``length`` bytes at least."""
-    hashes = gram_hashes(np.frombuffer(data, np.uint8), gram)
+    return landmarks(gram_hashes(np.frombuffer(data, np.uint8), gram), length - gram + 1)
+
+
+def landmarks(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of windows of ``width`` grams: landmark hash, first and end of each run of windows with the same landmark."""
     order = np.argsort(hashes, kind="stable")  # among equal hashes the first gram is the least
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    mark = order[window_minimum(rank, length - gram + 1)]
+    mark = order[window_minimum(rank, width)]
     edge = np.flatnonzero(np.r_[True, mark[1:] != mark[:-1]])
     return hashes[mark[edge]].view(np.int64), edge, np.r_[edge[1:], len(mark)]
 
@@ -230,8 +253,57 @@ def by_string(cuts: DataFrame, length: int) -> DataFrame:
     return rows.join(often, ["s1", "s2"]).select("mark", "frag", F.col("at").alias("from"), (F.col("at") + 1).cast("int").alias("to"))
 
 
+def word_values(text: str) -> np.ndarray:
+    found = text.encode().split()  # white space as in [\x20\x09-\x0D]
+    return np.fromiter(map(_words.__getitem__, found), np.uint64, len(found))
+
+
+def shared_words(docs: DataFrame, words: int = PASSAGE, gram: int = PASSAGE_GRAM, most: int = MOST_MARKED) -> DataFrame:
+    """id, th, n_shared_words of the documents (id, th, text) that share a run of ``words`` words with another one."""
+
+    def marks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, ths, sizes, marks = [], [], [], []
+            for i, th, text in zip(*(c.to_pylist() for c in batch.columns)):
+                values = word_values(text)
+                if len(values) >= words:
+                    ids.append(i)
+                    ths.append(th)
+                    sizes.append(len(values))
+                    marks.append(np.unique(landmarks(rolled(values, gram), words - gram + 1)[0]))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, marks)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *marks])))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ths, pa.int64()), pa.array(sizes, pa.int64()), lists], names=["id", "th", "size", "marks"])
+
+    def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for th, text, wanted in zip(*(c.to_pylist() for c in batch.columns)):
+                values = word_values(text)
+                mark, lo, hi = landmarks(rolled(values, gram), words - gram + 1)
+                here = np.isin(mark, np.array(wanted, np.int64))
+                at = np.flatnonzero(np.repeat(here, hi - lo))
+                yield pa.RecordBatch.from_arrays([pa.array(rolled(values, words)[at].view(np.int64)), pa.array(np.full(len(at), th)), pa.array(at.astype(np.int32))], names=["run", "th", "at"])
+
+    def elsewhere(rows: DataFrame, key: str) -> DataFrame:
+        """Rows whose ``key`` another text has too."""
+        several = rows.groupBy(key).agg(F.min("th").alias("a"), F.max("th").alias("b")).filter("a != b").select(key)
+        return rows.join(several, key)
+
+    texts = written(docs.transform(in_arrow, marks_of, "id long, th long, size long, marks array<long>"), "passage_marks")
+    marks = elsewhere(texts.select("th", F.explode("marks").alias("mark")), "mark").groupBy("th").agg(F.collect_set("mark").alias("marks"))  # as many as a text has
+    marks = written(marks, "shared_marks")
+    rows = docs.join(broadcast_if_small(marks, most), "th").select("th", "text", "marks")
+    runs = written(rows.transform(in_arrow, runs_of, "run long, th long, at int"), "passage_runs")
+    ahead = F.lead("at").over(Window.partitionBy("th").orderBy("at"))
+    covered = elsewhere(runs, "run").select("th", F.least(F.lit(words), F.coalesce(ahead - F.col("at"), F.lit(words))).alias("n"))  # copies add 0
+    covered = covered.groupBy("th").agg(F.sum("n").cast("long").alias("n"))
+    copied = texts.groupBy("th").agg(F.count("*").alias("copies"))
+    found = texts.select("id", "th", "size").distinct().join(copied, "th").join(covered, "th", "left")
+    n = F.when(F.col("copies") > 1, F.col("size")).otherwise(F.col("n"))
+    return found.select("id", "th", n.alias("n_shared_words")).filter("n_shared_words is not null")
+
+
 def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
-    """doc_id, n_bytes, spans (array of begin, end of the removed bytes) and kept (the other bytes) of (doc_id, text)."""
+    """doc_id, n_bytes, spans (array of begin, end of the removed bytes), kept (the other bytes) and n_shared_words of (doc_id, text)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     id_ = F.col("doc_id").cast("long")
     docs = docs.select(F.coalesce(id_, F.lit(-(1 << 63))).alias("id"), F.xxhash64(text, id_.isNull()).alias("th"), text.alias("text"))
@@ -252,7 +324,7 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int =
     spans = firsts.join(hits, ["mark", "frag"]).select("id", "th", (F.col("lo") + F.col("from")).alias("lo"), (F.col("lo") + F.col("to")).alias("hi"))
     spans = spans.unionByName(every.filter("n = 0").select("id", "th", "lo", "hi"))
     spans = spans.groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # as many as a document has
-    both = packed(docs).join(spans, ["id", "th"], "left")
+    both = packed(docs).join(spans, ["id", "th"], "left").join(written(shared_words(docs), "shared_words"), ["id", "th"], "left")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -269,6 +341,6 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int =
                     gone.append([{"begin": int(a), "end": int(b)} for a, b in zip(lo, hi)])
                     kept.append(b"".join(data[a:b] for a, b in zip(np.r_[0, hi].tolist(), np.r_[lo, len(data)].tolist())))
                 ids = pa.array([None if i == -(1 << 63) else i for i in part.column(0).to_pylist()], pa.int64())
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(gone, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(gone, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()), part.column(3)], names=["doc_id", "n_bytes", "spans", "kept", "n_shared_words"])
 
-    return both.select("id", "data", "spans").transform(in_arrow, strip, "doc_id long, n_bytes long, spans array<struct<begin: long, end: long>>, kept binary")
+    return both.select("id", "data", "spans", F.coalesce("n_shared_words", F.lit(0).cast("long"))).transform(in_arrow, strip, "doc_id long, n_bytes long, spans array<struct<begin: long, end: long>>, kept binary, n_shared_words long")
