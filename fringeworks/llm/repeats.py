@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .jaccard import Words, mixed
-from .scratch import broadcast_if_small, in_arrow, kept_by_workers, partitions, written
+from .jaccard import mixed
+from .scratch import broadcast_if_small, in_arrow, partitions, written
 from .suffixes import permuted_prefixes, suffix_array
 
 LENGTH = 400
@@ -47,6 +47,11 @@ PASSAGE, PASSAGE_GRAM = 50, 25
 MOST_MARKED = 100_000
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
+#: Starts whose landmarks are found at once; the arrays of so many fit a core's cache.
+BLOCK = 1 << 15
+#: Bytes up to which a word's hash is the polynomial's, which some made strings of over 1000 bytes share.
+LONG_WORD = 512
+SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 
 
 class Powers:
@@ -64,8 +69,6 @@ class Powers:
 
 
 _powers: list[Powers] = []
-_words = Words()
-kept_by_workers.append(_words)
 
 
 def powers() -> Powers:
@@ -74,44 +77,76 @@ def powers() -> Powers:
     return _powers[0]
 
 
-def rolled(values: np.ndarray, gram: int) -> np.ndarray:
-    """A 64-bit hash of every ``gram`` values in a row, by prefix sums of a polynomial."""
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """Sums of the polynomial of ``values`` up to each place; grows the powers to fit."""
     p = powers()
     p.grow(len(values) + 1)
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * p.up[: len(values)], out=total[1:])
-    n = len(values) - gram + 1
-    return mixed((total[gram:] - total[:n]) * p.down[:n])
+    return total
 
 
-def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    return rolled(powers().byte[data], gram)
+def rolled(values: np.ndarray, gram: int) -> np.ndarray:
+    """A 64-bit hash of every ``gram`` values in a row, by prefix sums of a polynomial."""
+    total = prefix_sums(values)
+    n = len(values) - gram + 1
+    return mixed((total[gram:] - total[:n]) * powers().down[:n])
 
 
 def window_minimum(values: np.ndarray, width: int) -> np.ndarray:
-    """Least value of each window, from running minima of blocks in both directions."""
-    n = len(values) - width + 1
-    padded = np.full(-(-len(values) // width) * width, np.iinfo(np.int64).max)
-    padded[: len(values)] = values
-    blocks = padded.reshape(-1, width)
-    ahead = np.minimum.accumulate(blocks, 1).reshape(-1)
-    behind = np.minimum.accumulate(blocks[:, ::-1], 1)[:, ::-1].reshape(-1)
-    return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
+    """Least value of each window, from windows of half the width."""
+    span = 1
+    while 2 * span <= width:
+        values = np.minimum(values[span:], values[:-span])
+        span *= 2
+    return np.minimum(values[width - span :], values[: len(values) - (width - span)])
+
+
+def landmarks(values: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Fragments of the strings of ``length`` values of documents that lie one after the other, ``bounds`` their borders.
+
+    Document, landmark hash, first start and end of starts of each, in order. The first
+    gram with the least upper bits of its hash is the landmark; the lower bits hold its
+    place, so blocks of many documents need no sorting.
+    """
+    width = length - gram + 1
+    low = np.uint64((1 << (BLOCK + width).bit_length()) - 1)
+    place = np.arange(BLOCK + width, dtype=np.uint64)
+    where, starts, hashes = [], [], []
+    for at in range(0, len(values) - length + 1, BLOCK):
+        part = values[at : at + BLOCK + length - 1]
+        found = rolled(powers().byte[part] if part.dtype == np.uint8 else part, gram)
+        mark = window_minimum((found & ~low | place[: len(found)]).view(np.int64), width) & np.int64(low)
+        edge = np.flatnonzero(np.r_[True, mark[1:] != mark[:-1]])
+        where.append(mark[edge] + at)
+        starts.append(edge + at)
+        hashes.append(found[mark[edge]])
+    begin, end = bounds[:-1], bounds[1:] - (length - 1)
+    long_ = end > begin
+    if not long_.any():
+        return (np.zeros(0, np.int64),) * 4
+    where, starts, hashes = map(np.concatenate, (where, starts, hashes))
+    new = np.r_[True, where[1:] != where[:-1]]  # one fragment, though a block ends in it
+    starts, hashes = starts[new], hashes[new]
+    cuts = np.unique(np.concatenate([starts, begin[long_], end[long_]]))
+    doc = np.flatnonzero(long_)[np.searchsorted(begin[long_], cuts, "right") - 1]
+    inside = np.flatnonzero((cuts >= begin[doc]) & (cuts < end[doc]))  # the others run over a border
+    lo, hi, doc = cuts[inside], cuts[inside + 1], doc[inside]
+    return doc, hashes[np.searchsorted(starts, lo, "right") - 1].view(np.int64), lo - begin[doc], hi - begin[doc]
 
 
 def fragments(data: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Landmark hash, first start and end of starts of each fragment of a text of ``length`` bytes at least."""
-    return landmarks(gram_hashes(np.frombuffer(data, np.uint8), gram), length - gram + 1)
+    return landmarks(np.frombuffer(data, np.uint8), np.array([0, len(data)]), length, gram)[1:]
 
 
-def landmarks(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of windows of ``width`` grams: landmark hash, first and end of each run of windows with the same landmark."""
-    order = np.argsort(hashes, kind="stable")  # among equal hashes the first gram is the least
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    mark = order[window_minimum(rank, width)]
-    edge = np.flatnonzero(np.r_[True, mark[1:] != mark[:-1]])
-    return hashes[mark[edge]].view(np.int64), edge, np.r_[edge[1:], len(mark)]
+def joined_texts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts, one after the other, and their borders."""
+    held = texts.cast(pa.large_binary())
+    bounds = np.frombuffer(held.buffers()[1], np.int64)[held.offset : held.offset + len(held) + 1]
+    data = held.buffers()[2]
+    data = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None else np.zeros(0, np.uint8)
+    return data, bounds - bounds[0]
 
 
 def runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,27 +170,17 @@ def found_fragments(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
         kinds = [pa.int64()] * 4 + [pa.int32()] * 3
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                out: list[list[np.ndarray]] = [[] for _ in kinds]
-                for i, th, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    data = text.encode()
-                    if len(data) < length:
-                        continue
-                    mark, lo, hi = fragments(data, length, gram)
-                    frag = np.array([xxhash.xxh3_64_intdigest(data[a : b + length - 1]) for a, b in zip(lo.tolist(), hi.tolist())], np.uint64).view(np.int64)
-                    if len(mark) > 1:
-                        order = np.lexsort((lo, frag, mark))
-                        mark, frag, lo, hi = mark[order], frag[order], lo[order], hi[order]
-                        first = np.r_[True, (mark[1:] != mark[:-1]) | (frag[1:] != frag[:-1])]
-                        n = np.zeros(len(mark), np.int64)
-                        n[first] = np.diff(np.r_[np.flatnonzero(first), len(mark)])
-                    else:
-                        n = np.ones(1, np.int64)
-                    for column, x in zip(out, (mark, frag, np.full(len(mark), i), np.full(len(mark), th), lo, hi, n)):
-                        column.append(x)
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k) for c, k in zip(out, kinds)], names=["mark", "frag", "id", "th", "lo", "hi", "n"])
+            data, bounds = joined_texts(batch.column(2))
+            doc, mark, lo, hi = landmarks(data, bounds, length, gram)
+            at, view = bounds[doc], memoryview(data)
+            frag = np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip((at + lo).tolist(), (at + hi + length - 1).tolist())), np.uint64, len(doc)).view(np.int64)
+            order = np.lexsort((lo, frag, mark, doc))
+            doc, mark, frag, lo, hi = doc[order], mark[order], frag[order], lo[order], hi[order]
+            first = np.r_[True, (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1]) | (frag[1:] != frag[:-1])][: len(doc)]
+            n = np.zeros(len(doc), np.int64)
+            n[first] = np.diff(np.r_[np.flatnonzero(first), len(doc)])
+            i, th = (batch.column(k).to_numpy()[doc] for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((mark, frag, i, th, lo, hi, n), kinds)], names=["mark", "frag", "id", "th", "lo", "hi", "n"])
 
     return docs.transform(in_arrow, found, "mark long, frag long, id long, th long, lo int, hi int, n int")
 
@@ -196,9 +221,9 @@ def packed(docs: DataFrame) -> DataFrame:
 def repeated_in(texts: list[bytes], length: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each text the runs of starts whose string of ``length`` bytes starts anywhere else in ``texts``."""
     ends = np.cumsum([len(t) + 1 for t in texts])
-    s = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + 2
+    s = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int16) + np.int16(2)
     s[ends - 1] = 1
-    s = np.r_[s, 0]
+    s = np.r_[s, np.int16(0)]
     before, prefix = permuted_prefixes(s, suffix_array(s, 258), 1)
     hit = np.zeros(len(s), bool)
     long_ = np.flatnonzero(prefix >= length)
@@ -253,9 +278,24 @@ def by_string(cuts: DataFrame, length: int) -> DataFrame:
     return rows.join(often, ["s1", "s2"]).select("mark", "frag", F.col("at").alias("from"), (F.col("at") + 1).cast("int").alias("to"))
 
 
-def word_values(text: str) -> np.ndarray:
-    found = text.encode().split()  # white space as in [\x20\x09-\x0D]
-    return np.fromiter(map(_words.__getitem__, found), np.uint64, len(found))
+def word_values(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word of texts that lie one after the other, and the borders of the texts' words."""
+    inner = np.zeros(len(data) + 2, bool)
+    inner[1:-1] = ~SPACE[data]
+    border = np.zeros(len(data) + 1, bool)
+    border[bounds] = True
+    starts = np.flatnonzero(inner[1:] & (~inner[:-1] | border))
+    ends = np.flatnonzero(inner[:-1] & (~inner[1:] | border))
+    values, p = np.empty(len(starts), np.uint64), powers()
+    for at in range(0, len(starts), BLOCK // 8):
+        a, b = starts[at : at + BLOCK // 8], ends[at : at + BLOCK // 8]
+        total = prefix_sums(p.byte[data[a[0] : b[-1]]])
+        values[at : at + len(a)] = mixed((total[b - a[0]] - total[a - a[0]]) * p.down[a - a[0]])
+    for k in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        import xxhash
+
+        values[k] = xxhash.xxh3_64_intdigest(memoryview(data)[starts[k] : ends[k]])
+    return values, np.searchsorted(starts, bounds)
 
 
 def shared_words(docs: DataFrame, words: int = PASSAGE, gram: int = PASSAGE_GRAM, most: int = MOST_MARKED) -> DataFrame:
@@ -263,43 +303,59 @@ def shared_words(docs: DataFrame, words: int = PASSAGE, gram: int = PASSAGE_GRAM
 
     def marks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, ths, sizes, marks = [], [], [], []
-            for i, th, text in zip(*(c.to_pylist() for c in batch.columns)):
-                values = word_values(text)
-                if len(values) >= words:
-                    ids.append(i)
-                    ths.append(th)
-                    sizes.append(len(values))
-                    marks.append(np.unique(landmarks(rolled(values, gram), words - gram + 1)[0]))
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, marks)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *marks])))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ths, pa.int64()), pa.array(sizes, pa.int64()), lists], names=["id", "th", "size", "marks"])
+            values, bounds = word_values(*joined_texts(batch.column(2)))
+            doc, mark, _, _ = landmarks(values, bounds, words, gram)
+            order = np.lexsort((mark, doc))
+            doc, mark = doc[order], mark[order]
+            first = np.r_[True, (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])][: len(doc)]
+            doc, mark = doc[first], mark[first]
+            sizes = np.diff(bounds)
+            some = np.flatnonzero(sizes >= words)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[np.searchsorted(doc, some), len(doc)], pa.int32()), pa.array(mark))
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[some]), pa.array(batch.column(1).to_numpy()[some]), pa.array(sizes[some], pa.int64()), lists], names=["id", "th", "size", "marks"])
 
     def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for th, text, wanted in zip(*(c.to_pylist() for c in batch.columns)):
-                values = word_values(text)
-                mark, lo, hi = landmarks(rolled(values, gram), words - gram + 1)
-                here = np.isin(mark, np.array(wanted, np.int64))
-                at = np.flatnonzero(np.repeat(here, hi - lo))
-                yield pa.RecordBatch.from_arrays([pa.array(rolled(values, words)[at].view(np.int64)), pa.array(np.full(len(at), th)), pa.array(at.astype(np.int32))], names=["run", "th", "at"])
-
-    def elsewhere(rows: DataFrame, key: str) -> DataFrame:
-        """Rows whose ``key`` another text has too."""
-        several = rows.groupBy(key).agg(F.min("th").alias("a"), F.max("th").alias("b")).filter("a != b").select(key)
-        return rows.join(several, key)
+            values, bounds = word_values(*joined_texts(batch.column(1)))
+            doc, mark, lo, hi = landmarks(values, bounds, words, gram)
+            wanted = batch.column(2)
+            of = np.repeat(np.arange(len(wanted)), wanted.value_lengths().to_numpy())
+            pairs = np.unique(mixed(wanted.flatten().to_numpy().view(np.uint64)) + of.astype(np.uint64))  # a bijection for each document
+            here = np.isin(mixed(mark.view(np.uint64)) + doc.astype(np.uint64), pairs)
+            doc, mark, lo, hi = (c[here] for c in (doc, mark, lo, hi))
+            if not len(doc):
+                continue
+            begin, held = bounds[doc] + lo, hi - lo
+            sums = prefix_sums(values)
+            edge = np.cumsum(held)
+            at = np.arange(edge[-1]) + np.repeat(begin - (edge - held), held)  # every start of every fragment
+            down = powers().down
+            runs = mixed((sums[at + words] - sums[at]) * down[at]).view(np.int64)
+            frag = mixed((sums[begin + held + words - 1] - sums[begin]) * down[begin]).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, edge], pa.int32()), pa.array(runs))
+            yield pa.RecordBatch.from_arrays([pa.array(mark), pa.array(frag), pa.array(batch.column(0).to_numpy()[doc]), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), lists], names=["mark", "frag", "th", "lo", "hi", "runs"])
 
     texts = written(docs.transform(in_arrow, marks_of, "id long, th long, size long, marks array<long>"), "passage_marks")
-    marks = elsewhere(texts.select("th", F.explode("marks").alias("mark")), "mark").groupBy("th").agg(F.collect_set("mark").alias("marks"))  # as many as a text has
-    marks = written(marks, "shared_marks")
-    rows = docs.join(broadcast_if_small(marks, most), "th").select("th", "text", "marks")
-    runs = written(rows.transform(in_arrow, runs_of, "run long, th long, at int"), "passage_runs")
-    ahead = F.lead("at").over(Window.partitionBy("th").orderBy("at"))
-    covered = elsewhere(runs, "run").select("th", F.least(F.lit(words), F.coalesce(ahead - F.col("at"), F.lit(words))).alias("n"))  # copies add 0
-    covered = covered.groupBy("th").agg(F.sum("n").cast("long").alias("n"))
-    copied = texts.groupBy("th").agg(F.count("*").alias("copies"))
-    found = texts.select("id", "th", "size").distinct().join(copied, "th").join(covered, "th", "left")
-    n = F.when(F.col("copies") > 1, F.col("size")).otherwise(F.col("n"))
-    return found.select("id", "th", n.alias("n_shared_words")).filter("n_shared_words is not null")
+    once = texts.groupBy("th").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min("size").alias("size"))
+    held = texts.select("th", F.explode("marks").alias("mark"))
+    several = held.groupBy("mark").agg(F.min("th").alias("a"), F.max("th").alias("b")).filter("a != b").select("mark")
+    marks = held.join(several, "mark").groupBy("th").agg(F.collect_set("mark").alias("marks"))  # as many as a text has
+    marks = written(marks.join(once.select("id", "th"), "th"), "shared_marks")
+    rows = docs.join(broadcast_if_small(marks, most), ["id", "th"]).select("th", "text", "marks")  # one of the copies of a text
+    found = written(rows.transform(in_arrow, runs_of, "mark long, frag long, th long, lo int, hi int, runs array<long>"), "passage_fragments")
+    kinds = written(found.groupBy("mark", "frag").agg(F.min("th").alias("a"), F.max("th").alias("b")), "passage_kinds")
+    # A fragment that another text has is shared as a whole; of one that only one text has, runs may be in other fragments of its landmark.
+    covered = found.join(kinds.filter("a != b").select("mark", "frag"), ["mark", "frag"]).select("th", "lo", "hi")
+    mixed_ = kinds.groupBy("mark").agg(F.count("*").alias("n"), F.max(F.expr("a = b")).alias("alone")).filter("n > 1 and alone").select("mark")
+    one = found.join(kinds.join(mixed_, "mark"), ["mark", "frag"]).filter("th = a").select("th", "b", "lo", F.posexplode("runs").alias("k", "run"))
+    one = written(one.select("run", "th", "b", (F.col("lo") + F.col("k")).alias("lo")), "passage_runs")
+    both = one.groupBy("run").agg(F.min("th").alias("least"), F.max("b").alias("most")).filter("least != most").select("run")
+    covered = covered.unionByName(one.filter("th = b").join(both, "run").select("th", "lo", (F.col("lo") + 1).alias("hi")))
+    ahead = F.lead("lo").over(Window.partitionBy("th").orderBy("lo"))
+    reach = F.col("hi") + (words - 1) - F.col("lo")
+    covered = covered.select("th", F.least(reach, F.coalesce(ahead - F.col("lo"), reach)).alias("n")).groupBy("th").agg(F.sum("n").cast("long").alias("n"))  # equal rows add 0
+    told = once.join(covered, "th", "left").select("th", F.when(F.col("copies") > 1, F.col("size")).otherwise(F.col("n")).alias("n_shared_words"))
+    return texts.select("id", "th").distinct().join(told.filter("n_shared_words is not null"), "th")
 
 
 def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:

@@ -5,13 +5,34 @@ Leftmost S suffixes (LMS) are sorted first: their substrings by one induction fr
 text order, then, where substrings are equal, by the order of the reduced string of
 their names. From them two linear scans induce all others, the L suffixes bucket by
 bucket upwards and the S suffixes downwards; a bucket's entries are handled as one
-array, and those that lead into the same bucket as the next.
+array, and those that lead into the same bucket as the next. Characters of 16 bits
+sort by radix; comparisons take ``AHEAD`` characters at a time.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Characters, all under 512, in one 63-bit word.
+AHEAD = 7
+
+
+def words_ahead(s: np.ndarray) -> np.ndarray:
+    """For each position the next ``AHEAD`` characters in one word, the first in the upper bits; 0 after the end."""
+    padded = np.zeros(len(s) + AHEAD - 1, np.int64)
+    padded[: len(s)] = s
+    out = padded[: len(s)].copy()
+    for k in range(1, AHEAD):
+        out <<= 9
+        out |= padded[k : k + len(s)]
+    return out
+
+
+def leading_equal(x: np.ndarray) -> np.ndarray:
+    """How many characters two words have in common at their begin, from the words' exclusive or."""
+    bits = np.frexp((x >> 9).astype(np.float64))[1]  # of 54 bits, of which the last is rounded: 55 at most
+    return np.where(x >> 9 == 0, AHEAD - (x != 0), np.maximum(0, AHEAD - 1 - (bits + 8) // 9))
+
 
 def classify(s: np.ndarray) -> np.ndarray:
     """True where a suffix is S; ``s`` ends in its only 0."""
@@ -86,14 +107,15 @@ def names_of(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, by_substring: np.
     end[lms[:-1]] = lms[1:]
     a, b = by_substring[:-1], by_substring[1:]
     size = end[a] - a + 1
-    equal = size == end[b] - b + 1
-    active = np.flatnonzero(equal)
+    equal = size == end[b] - b + 1  # with the same characters, types are the same too: both end in an S suffix
+    active, ahead = np.flatnonzero(equal), words_ahead(s)
     k = 0
     while len(active):
-        x, y = a[active] + k, b[active] + k
-        same = (s[x] == s[y]) & (is_s[x] == is_s[y])
+        differs = ahead[a[active] + k] ^ ahead[b[active] + k]
+        unused = 9 * np.maximum(0, AHEAD - (size[active] - k))
+        same = differs >> unused == 0
         equal[active[~same]] = False
-        k += 1
+        k += AHEAD
         active = active[same & (size[active] > k)]
     rank = np.empty(len(s), np.int64)
     rank[by_substring] = np.r_[0, np.cumsum(~equal)]
@@ -101,19 +123,26 @@ def names_of(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, by_substring: np.
 
 
 def order_of_names(names: np.ndarray) -> np.ndarray:
-    """Suffixes of the reduced string in order: ranks of twice as many names at a time until all differ."""
-    rank, span, n = names.astype(np.int64), 1, len(names)
+    """Suffixes of the reduced string in order: ranks of twice as many names at a time, of those that are still alike."""
+    n = len(names)
+    order = np.argsort(names, kind="stable")
+    key = names[order]
+    rank = np.empty(n + 1, np.int64)  # where the suffixes alike begin in the order
+    rank[n] = -1
+    alike, idx, span = np.arange(n), order, 1
     while True:
-        after = np.zeros(n, np.int64)
-        if span < n:
-            after[:-span] = rank[span:] + 1
-        key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        fresh = np.r_[0, np.cumsum(key[1:] != key[:-1])]
-        rank[order] = fresh
-        if fresh[-1] == n - 1:
+        new = np.r_[True, key[1:] != key[:-1]]
+        first = np.flatnonzero(new)
+        rank[idx] = np.repeat(alike[first], np.diff(np.r_[first, len(idx)]))
+        more = ~(new & np.r_[new[1:], True])
+        alike = alike[more]
+        if not len(alike):
             return order
+        idx = order[alike]
+        key = rank[idx] * (n + 1) + rank[np.minimum(idx + span, n)] + 1
+        by = np.argsort(key)
+        idx, key = idx[by], key[by]
+        order[alike] = idx
         span *= 2
 
 
@@ -139,17 +168,21 @@ def permuted_prefixes(s: np.ndarray, order: np.ndarray, stop: int) -> tuple[np.n
     n = len(s)
     before = np.full(n, -1)
     before[order[1:]] = order[:-1]
-    left = np.r_[-1, s[:-1]]
+    left = np.r_[-1, s[:-1].astype(np.int64)]
     at = np.arange(n)
     reducible = (before > 0) & (left == left[np.maximum(before, 0)]) & (left > stop) & (before >= 0)
     starts = np.flatnonzero(~reducible)
+    stops = np.r_[np.flatnonzero(s <= stop), n]
     size = np.zeros(n, np.int64)
     active = starts[before[starts] >= 0]
-    other = before[active]
+    other, ahead = before[active], words_ahead(s)
+    most = np.minimum(stops[np.searchsorted(stops, active)] - active, stops[np.searchsorted(stops, other)] - other)
+    k = 0
     while len(active):
-        x, y = active + size[active], other + size[active]
-        same = (s[np.minimum(x, n - 1)] == s[np.minimum(y, n - 1)]) & (s[np.minimum(x, n - 1)] > stop)
-        active, other = active[same], other[same]
-        size[active] += 1
+        equal = leading_equal(ahead[np.minimum(active + k, n - 1)] ^ ahead[np.minimum(other + k, n - 1)])
+        size[active] = np.minimum(k + equal, most)
+        k += AHEAD
+        on = (equal == AHEAD) & (most > k)
+        active, other, most = active[on], other[on], most[on]
     source = np.maximum.accumulate(np.where(reducible, -1, at))
     return before, np.maximum(size[source] - (at - source), 0)
